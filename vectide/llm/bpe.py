@@ -3,10 +3,10 @@
 Why a transducer works: let T(w) be the BPE tokens of w. If T(w) ends in token t, then T(w without t) is T(w) without
 that t, so each prefix of w needs only its last token. Token t can follow token s exactly if T(st) = (s, t). Reading a
 byte, the machine extends every live boundary - a place from which the bytes read so far still begin some token - in
-the vocabulary's trie, and picks the one complete token that can follow the last token at its boundary. Tokens shared
-by all live boundaries can't change any more and are emitted; what is undecided is shorter than the longest token, so
-the lookahead is bounded. A state is the live boundaries with their trie nodes and undecided tokens. States and moves
-are made when first needed and kept, up to MOST_STATES; then the machine forgets them and goes on.
+the vocabulary's trie, and picks the one complete token that can follow the last token at its boundary: the last token of what has been
+read. Tokens shared by all live boundaries can't change any more and are emitted, so the lookahead is bounded. A state
+is the live boundaries, each with the last token before it and its trie node. States and moves are made when first
+needed and kept, up to MOST_STATES; then the machine forgets them and goes on.
 
 Decoding concatenates the tokens' bytes; the text comes from an incremental UTF-8 machine that holds back at most the
 three bytes of an unfinished character.
@@ -28,8 +28,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vectide.llm.scratch import prepare, table
 
 VOCABULARY, PATTERN = "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN
-#: Moves and matches kept by a worker.
-MOST_STATES, MOST_WORDS = 150_000, 150_000
+#: States (with two moves each) and matches kept by a worker.
+MOST_STATES, MOST_WORDS = 250_000, 200_000
+#: Bytes after which what is certain is emitted; over twice the longest token.
+LOOKAHEAD = 1024
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,8 +45,11 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.shift = max(self.bytes_of).bit_length()
+        self.mask = (1 << self.shift) - 1
         self.trie: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
+        self.depth: list[int] = [0]
         for token, i in ranks.items():
             node = 0
             for b in token:
@@ -52,28 +57,39 @@ class Transducer:
                     self.trie[node][b] = len(self.trie)
                     self.trie.append({})
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = self.trie[node][b]
             self.token_at[node] = i
-        self.pairs: dict[tuple[int, int], bool] = {}
-        # tokens that the merges themselves don't produce can never be emitted
-        self.reachable: dict[int, bool] = {}
+        leaf: dict[int, int] = {}  # one dict for all nodes without children
+        self.trie = [t or leaf for t in self.trie]
+        self.size = {i: len(t) for i, t in self.bytes_of.items()}
+        self.pairs: dict[int, bool] = {}
+        self.reachable: dict[int, bool] = {}  # tokens that the merges themselves don't produce are never emitted
         self.forget()
 
     def forget(self) -> None:
-        """A state is the last certain token (-1: none) and, for each live boundary, its undecided tokens and trie node."""
-        start = (-1, (((), 0),))
+        """A state is the live boundaries in order of place, each as (last token before it or -1, trie node since it)."""
+        start = ((-1, 0),)
         self.states, self.number = [start], {start: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: state << 8 | byte -> next state << shift | last token of what has been read
+        self.moves: dict[int, int] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """The definition: merge the adjacent pair of least rank, leftmost first, until none is left."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+        parts, ranks = [word[i : i + 1] for i in range(len(word))], self.ranks
+        costs = [ranks.get(parts[i] + parts[i + 1], 1 << 60) for i in range(len(parts) - 1)]
+        while costs:
+            best = min(costs)
             if best == 1 << 60:
                 break
+            at = costs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+            del costs[at]
+            if at < len(costs):
+                costs[at] = ranks.get(parts[at] + parts[at + 1], 1 << 60)
+            if at:
+                costs[at - 1] = ranks.get(parts[at - 1] + parts[at], 1 << 60)
+        return [ranks[p] for p in parts]
 
     def _stands(self, token: int) -> bool:
         if token not in self.reachable:
@@ -81,61 +97,75 @@ class Transducer:
         return self.reachable[token]
 
     def _follows(self, before: int, token: int) -> bool:
-        got = self.pairs.get((before, token))
+        if before < 0:
+            return self._stands(token)
+        key = before << self.shift | token
+        got = self.pairs.get(key)
         if got is None:
             got = self._stands(token) and self.merge(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
             if len(self.pairs) > MOST_STATES:
                 self.pairs.clear()
-            self.pairs[before, token] = got
+            self.pairs[key] = got
         return got
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The state after `byte` and the tokens that became certain."""
-        certain, boundaries = self.states[state]
-        live, done = [], None
-        for path, node in boundaries:
-            to = self.trie[node].get(byte)
-            if to is None:
-                continue
-            live.append((path, to))
-            token, before = self.token_at[to], path[-1] if path else certain
-            if token >= 0 and done is None and (self._stands(token) if before < 0 else self._follows(before, token)):
-                done = (*path, token)
-        if done is None:
+    def _move(self, key: int) -> int:
+        """The move for state << 8 | byte, made and kept."""
+        live, done, trie, byte = [], -1, self.trie, key & 255
+        for last, node in self.states[key >> 8]:
+            to = trie[node].get(byte)
+            if to is not None:
+                if trie[to]:  # a node without children can't be extended
+                    live.append((last, to))
+                if done < 0 and (token := self.token_at[to]) >= 0 and self._follows(last, token):
+                    done = token
+        if done < 0:
             raise ValueError("the vocabulary lacks a single byte")
         live.append((done, 0))
-        first = live[0][0]
-        k = len(first)
-        for p, _ in live:
-            if p[:k] != first[:k]:
-                k = next((i for i, (a, b) in enumerate(zip(p, first)) if a != b), min(k, len(p)))
-                if not k:
-                    break
-        if k:
-            certain, live = first[k - 1], [(p[k:], n) for p, n in live]
-        if all(p for p, _ in live):
-            certain = -2  # no boundary is left at which it would be looked at
-        after = (certain, tuple(live))
+        after = tuple(live)
         number = self.number.get(after)
         if number is None:
             number = self.number[after] = len(self.states)
             self.states.append(after)
-        return number, first[:k]
+        self.moves[key] = got = number << self.shift | done
+        return got
+
+    def _back(self, lasts: list[int], end: int) -> list[int]:
+        """Tokens up to place `end`, from the last token at each place."""
+        out, size = [], self.size
+        while end > 0:
+            token = lasts[end - 1]
+            out.append(token)
+            end -= size[token]
+        out.reverse()
+        return out
+
+    def _certain(self, lasts: list[int], state: int) -> int:
+        """The last place that the tokens up to every live boundary pass through."""
+        ends = {len(lasts) - self.depth[node] for _, node in self.states[state]}
+        while len(ends) > 1:
+            far = max(ends)
+            ends.discard(far)
+            ends.add(far - self.size[lasts[far - 1]])
+        return ends.pop()
 
     def encode(self, word: bytes) -> list[int]:
         if len(self.states) > MOST_STATES or len(self.moves) > 2 * MOST_STATES:
             self.forget()
-        state, out, moves = 0, [], self.moves
-        for byte in word:
-            key = state << 8 | byte
-            got = moves.get(key)
-            if got is None:
-                got = moves[key] = self._move(state, byte)
-            state, sure = got
-            if sure:
-                out.extend(sure)
-        out.extend(self.states[state][1][-1][0])  # the last live boundary is the end of the word
-        return out
+        state, out, lasts, shift, mask = 0, [], [], self.shift, self.mask
+        get, move, add = self.moves.get, self._move, lasts.append
+        for at in range(0, len(word), LOOKAHEAD):
+            if at:
+                sure = self._certain(lasts, state)
+                out += self._back(lasts, sure)
+                del lasts[:sure]
+            for byte in word[at : at + LOOKAHEAD]:
+                key = state << 8 | byte
+                got = get(key)
+                if got is None:
+                    got = move(key)
+                state = got >> shift
+                add(got & mask)
+        return out + self._back(lasts, len(lasts)) if out else self._back(lasts, len(lasts))
 
 
 class Utf8Stream:
@@ -171,18 +201,28 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.machine = Transducer(ranks)
         self.split = regex.compile(pattern)
-        self.words: dict[str, tuple[int, ...]] = {}
+        #: Encoded matches: those of late, and those of before, from which the ones that recur are taken over.
+        self.words: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
+
+    def _word(self, w: str) -> list[int]:
+        got = self.before.get(w)
+        if got is None:
+            got = self.machine.encode(w.encode("utf-8"))
+            if len(w) > 64:
+                return got
+        if len(self.words) >= MOST_WORDS:
+            self.before, self.words = self.words, {}
+        self.words[w] = got
+        return got
 
     def encode(self, text: str) -> list[int]:
-        words, out = self.words, []
+        out, get, word = [], self.words.get, self._word
         for w in self.split.findall(text):
-            got = words.get(w)
+            got = get(w)
             if got is None:
-                got = tuple(self.machine.encode(w.encode("utf-8")))
-                if len(words) >= MOST_WORDS:
-                    words.clear()
-                if len(w) <= 64:
-                    words[w] = got
+                got = word(w)
+                get = self.words.get
             out += got
         return out
 
