@@ -90,7 +90,7 @@ class Convergence:
             self.recent.popleft()
         if len(self.recent) < self.window or self.steps < 2 * self.window:
             return False
-        return np.float32(sum(self.recent)) / np.float32(self.window) < np.float32(self.threshold)
+        return bool(np.float32(sum(self.recent)) / np.float32(self.window) < np.float32(self.threshold))
 
 
 @dataclass
@@ -389,7 +389,7 @@ def search_sharded(base: DataFrame, queries: DataFrame, c: Controls, metric: str
     for ids, q in blocks_of(queries):
         shared = spark.sparkContext.broadcast((ids, q))
 
-        def one(f: pd.DataFrame, shared=shared) -> pd.DataFrame:
+        def one(f: pd.DataFrame, shared) -> pd.DataFrame:
             f = f.sort_values("id")
             x, own = np.stack(f["vec"].to_numpy()).astype(np.float32), f["id"].to_numpy()
             edges, captured, entry = build_shard(x.astype(np.float64), config, metric)
@@ -402,7 +402,10 @@ def search_sharded(base: DataFrame, queries: DataFrame, c: Controls, metric: str
                 out.append(pd.DataFrame({"query_id": qid, "id": ids_, "score": scores}))
             return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
 
-        parts.append(shards.groupBy("shard").applyInPandas(one, "query_id long, id long, score double"))
+        def of_block(f: pd.DataFrame) -> pd.DataFrame:
+            return one(f, shared)
+
+        parts.append(shards.groupBy("shard").applyInPandas(of_block, "query_id long, id long, score double"))
     from vectide.functions.vectors import rank_key
     from vectide.operators.labels import union_all
 

@@ -11,6 +11,7 @@ import os
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vectide.errors import require
@@ -114,8 +115,9 @@ def from_array(spark: SparkSession, x: np.ndarray) -> DataFrame:
     """S3: (id, vec) of a 2-D float32 or uint8 array."""
     require(isinstance(x, np.ndarray) and x.ndim == 2 and x.size > 0, "from_array", "a nonempty 2-D array is needed")
     require(x.dtype in (np.float32, np.uint8), "from_array", "base arrays must be float32 or uint8", dtype=str(x.dtype))
-    kind = "float" if x.dtype == np.float32 else "int"
-    return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "vec": list(x.astype(np.float32 if kind == "float" else np.int32))}), f"id long, vec array<{kind}>")
+    flat = np.ascontiguousarray(x).ravel().astype(np.float32 if x.dtype == np.float32 else np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(flat))
+    return spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(x))), "vec": lists}))
 
 
 def write_vectors(path: str, x: np.ndarray, kind: str | None = None) -> None:
