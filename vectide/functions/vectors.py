@@ -48,7 +48,8 @@ def norm(v) -> Column:
 
 def cosine(a, b) -> Column:
     """Clamped to [-1, 1]; null for a zero vector."""
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), norm(a) * norm(b))))
+    c = F.try_divide(dot(a, b), norm(a) * norm(b))
+    return F.when(c.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
 
 
 def score(metric: str, q, v) -> Column:
