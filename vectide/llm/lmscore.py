@@ -1,7 +1,7 @@
 """Document scores by cross-entropy difference (Moore and Lewis, 2010).
 
-Two character n-gram models of the same order, smoothing and vocabulary are counted in one pass: the target model on the
-documents named as good, the background model on all documents. A document's score is the mean over its characters of the
+Two character n-gram models of the same order, smoothing and vocabulary are counted: the target model on the documents
+named as good, the background model on all documents. A document's score is the mean over its characters of the
 background loss minus the target loss, in nats: above zero it looks more like the target than like the corpus.
 
 Vocabulary: the SYMBOLS - 1 most frequent characters of the corpus (letters in lower case, digits as 0), one symbol for
@@ -70,25 +70,16 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
 
 def _gram_counts(shared):
     def batches(stream):
-        """One row for each gram of a task: how often in all its documents and in its target documents."""
-        total: tuple | None = None
-
-        def add(code, n, t):
-            nonlocal total
-            if total is not None:
-                code, n, t = (np.concatenate(x) for x in zip(total, (code, n, t), strict=True))
-            code, at = np.unique(code, return_inverse=True)
-            total = code, np.bincount(at, n, len(code)), np.bincount(at, t, len(code))
-
+        """One row for each gram of a task, with how often it comes."""
+        codes, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
         for b in stream:
-            texts, good = b.column("text").to_pylist(), b.column("good").to_pylist()
-            for want in (True, False):
-                g, _ = grams([t for t, y in zip(texts, good, strict=True) if t and bool(y) == want], shared.value)
-                if len(g):
-                    code, n = np.unique(g, return_counts=True)
-                    add(code, n, n * want)
-        if total is not None:
-            yield pa.record_batch([pa.array(total[0].astype(np.int32)), pa.array(total[1].astype(np.int64)), pa.array(total[2].astype(np.int64))], ["gram", "n", "t"])
+            g, _ = grams([t for t in b.column("text").to_pylist() if t], shared.value)
+            if len(g):
+                code, n = np.unique(g, return_counts=True)
+                codes, at = np.unique(np.concatenate((codes, code)), return_inverse=True)
+                counts = np.bincount(at, np.concatenate((counts, n)), len(codes))
+        if len(codes):
+            yield pa.record_batch([pa.array(codes.astype(np.int32)), pa.array(counts.astype(np.int64))], ["gram", "n"])
 
     return batches
 
@@ -126,9 +117,13 @@ def fit(docs: DataFrame, good: DataFrame) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     symbol = vocabulary(rows)
     shared = spark.sparkContext.broadcast(symbol)
-    ids = good.select(F.col("doc_id").cast("long").alias("_id"), F.lit(True).alias("good")).where("_id is not null").distinct()
-    marked = rows.join(ids, F.col("doc_id") == F.col("_id"), "left").select("text", "good")
-    counts = marked.mapInArrow(_gram_counts(shared), "gram int, n long, t long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    ids = good.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
+    # one plan at every size: the ids grow with the corpus, so they are merged, not broadcast; above 10 GB Spark puts a
+    # Bloom filter of the ids in front of the documents' shuffle, as a semi-join allows
+    wanted = rows.join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
+    count = lambda df: df.select("text").mapInArrow(_gram_counts(shared), "gram int, n long")
+    both = count(rows).select("gram", "n", F.lit(0).cast("long").alias("t")).union(count(wanted).select("gram", F.lit(0).cast("long"), "n"))
+    counts = both.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     # at most SYMBOLS ** ORDER rows, whatever the corpus
     got = Scratch(spark, "lmscore").keep(counts, "grams").toPandas()
     background, target = np.zeros(CELLS), np.zeros(CELLS)
