@@ -96,9 +96,9 @@ class Lexicon:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
-        # a word within one edit shares its first or its last half, give or take a place, with the term
+        # a word within one edit shares its first or its last half with the term, or the halves' inner letters are swapped
         fuzzy = [w for w in words if len(w) >= FUZZY_FROM]
-        self.heads = {w[: len(w) // 2] for w in fuzzy} | {w[: max(1, len(w) // 2 - 1)] for w in fuzzy if len(w) >= 6}
+        self.heads = {w[: len(w) // 2] for w in fuzzy} | {w[: len(w) // 2 - 1] + w[len(w) // 2] for w in fuzzy}
         self.tails = {w[-(len(w) // 2) :] for w in fuzzy}
         self.cut = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
         self.span = (min(map(len, fuzzy)) - 1, max(map(len, fuzzy)) + 1) if fuzzy else (1, 0)
@@ -252,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     some = known.where("toxic = 1").orderBy("h", "_id").limit(MOST_TOXIC).union(known.where("toxic = 0").orderBy("h", "_id").limit(MOST_CLEAN))
     some = scratch.keep(some.select("_id", "toxic"), "sample")
     # at most MOST_TOXIC + MOST_CLEAN ids of 12 bytes are broadcast; copies of a text teach once
-    rows = docs.where("text is not null").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
     rows = scratch.keep(rows.select(F.col("text").cast("string").alias("text"), "toxic").dropDuplicates(["text"]), "rows")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
