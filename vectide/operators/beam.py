@@ -274,6 +274,9 @@ class Stages:
             pick = np.sort(np.random.default_rng(42).choice(len(x), min(len(x), 4096), replace=False))
             self.pq = Q.ProductCode([Q.kmeans(p, 256, seed=42 + i) for i, p in enumerate(np.array_split(x[pick].astype(np.float64), min(-(-dim // 8), 64), axis=1))])
             self.codes = self.pq.codes(x.astype(np.float64))
+        if cascade.rerank == "l2-u16":
+            self.fine = Q.AffineCode(low, high, 65535)
+            self.fine_codes = self.affine(x, self.fine)
         p = cascade.prefilter
         if p == "jl":
             self.jl = Q.SparseSketch(Q.sparse_indices(dim)).matrix(dim)
@@ -287,10 +290,11 @@ class Stages:
             self.active = Q.OneBitCode.prefilter_active(dim)
             self.signs, self.norms = np.where(self.turned >= 0, 1.0, -1.0), np.linalg.norm(x, axis=1)
 
-    def affine(self, v):
+    def affine(self, v, code=None):
         from vectide.operators.quantizers import half_away
 
-        return np.clip(half_away(v.astype(np.float32) * np.float32(self.code.slope)) - np.float32(self.code.offset), 0, self.code.top)
+        code = code or self.code
+        return np.clip(half_away((v.astype(np.float32) * np.float32(code.slope)).astype(np.float64)) - code.offset, 0, code.top)
 
     def symmetric(self, v):
         from vectide.operators.quantizers import half_away
@@ -325,6 +329,12 @@ class Stages:
             return lambda at: np.maximum(0, q @ q + self.norms[at] ** 2 - 2 * (self.signs[at] @ r) * self.norms[at] / scale)
         return None
 
+    def rerank(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The distances that the last stage orders by."""
+        if self.cascade.rerank == "l2-u16":
+            return ((self.fine_codes[at] - self.affine(q, self.fine)) ** 2).sum(1)
+        return self.exact(q, at)
+
     def exact(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
         wide, rows = q.astype(np.float64), self.x[at].astype(np.float64)
         if self.metric == L2:
@@ -344,10 +354,9 @@ def answer(graph: SharedGraph, stages: Stages, q: np.ndarray, c: Controls, trace
         at = at[: c.k]
     else:
         at = at[: min(RERANK * c.k, len(at))]
-    d = stages.exact(q, at)
     if stages.cascade.rerank != "none":
-        order = np.lexsort((graph.ids[at], d.astype(np.float32)))[: c.k]
-        at, d = at[order], d[order]
+        at = at[np.lexsort((graph.ids[at], stages.rerank(q, at).astype(np.float32)))[: c.k]]
+    d = stages.exact(q, at)
     return graph.ids[at], d if stages.metric == L2 else -d, n
 
 

@@ -23,6 +23,7 @@ FORMATS = {
     "bvecs": ("u1", "row"),
     "ivecs": ("<i4", "row"),
     "fbin": ("<f4", "file"),
+    "f16bin": ("<f2", "file"),
     "u8bin": ("u1", "file"),
     "i8bin": ("i1", "file"),
     "u16bin": ("<u2", "file"),
@@ -84,10 +85,10 @@ def read_vectors(spark: SparkSession, path: str, kind: str | None = None, max_po
                 x = np.ascontiguousarray(raw).view(dtype).reshape(n, dim)
                 for a in range(0, n, 4096):
                     part = x[a : a + 4096]
-                    yield pd.DataFrame({"id": np.arange(int(first) + a, int(first) + a + len(part)), "vec": list(part.astype(np.float32 if dtype == "<f4" else np.int64))})
+                    yield pd.DataFrame({"id": np.arange(int(first) + a, int(first) + a + len(part)), "vec": list(part.astype(np.float32 if "f" in dtype else np.int64))})
 
     ranges = spark.range(0, rows, step, numPartitions=max(1, min(10_000, -(-rows // step))))
-    return ranges.mapInPandas(batches, f"id long, vec array<{'float' if dtype == '<f4' else 'int' if dtype != '<u4' else 'bigint'}>")
+    return ranges.mapInPandas(batches, f"id long, vec array<{'float' if 'f' in dtype else 'int' if dtype != '<u4' else 'bigint'}>")
 
 
 def read_small(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -133,6 +134,17 @@ def write_vectors(path: str, x: np.ndarray, kind: str | None = None) -> None:
             f.write(np.hstack([head, x.view("u1").reshape(len(x), -1)]).tobytes())
 
 
+def convert_hdf5(source: str, path: str, name: str = "train", kind: str | None = None, block: int = 1) -> None:
+    """Writes a matrix of an HDF5 file in a vector format, padded with zeros; needs h5py, which is optional."""
+    try:
+        import h5py
+    except ImportError:
+        require(False, "convert", "h5py is not installed", "UNSUPPORTED")
+    with h5py.File(source, "r") as f:
+        x = np.asarray(f[name], np.float32)
+    write_vectors(path, np.pad(x, ((0, 0), (0, -x.shape[1] % block))), kind)
+
+
 def zero_pad(df: DataFrame, block: int) -> DataFrame:
     """Vec padded with zeros to a multiple of `block` coordinates."""
     short = (F.lit(block) - F.size("vec") % block) % block
