@@ -18,18 +18,17 @@ repeated rows keep a row each; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectide.llm.scratch import prepare, table
+from vectide.llm.scratch import held, prepare, table
 
 VOCABULARY, PATTERN = "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN
 #: States (with two moves each) and matches kept by a worker.
-MOST_STATES, MOST_WORDS = 250_000, 200_000
+MOST_STATES, MOST_WORDS = 200_000, 120_000
 #: Bytes after which what is certain is emitted; over twice the longest token.
 LOOKAHEAD = 1024
 
@@ -68,8 +67,8 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        """A state is the live boundaries in order of place, each as (last token before it or -1, trie node since it)."""
-        start = ((-1, 0),)
+        """A state is the live boundaries in order of place, each as (last token before it, or -1) * nodes + trie node."""
+        start = (-len(self.trie),)
         self.states, self.number = [start], {start: 0}
         #: state << 8 | byte -> next state << shift | last token of what has been read
         self.moves: dict[int, int] = {}
@@ -110,17 +109,18 @@ class Transducer:
 
     def _move(self, key: int) -> int:
         """The move for state << 8 | byte, made and kept."""
-        live, done, trie, byte = [], -1, self.trie, key & 255
-        for last, node in self.states[key >> 8]:
+        live, done, trie, byte, nodes = [], -1, self.trie, key & 255, len(self.trie)
+        for boundary in self.states[key >> 8]:
+            last, node = divmod(boundary, nodes)
             to = trie[node].get(byte)
             if to is not None:
                 if trie[to]:  # a node without children can't be extended
-                    live.append((last, to))
+                    live.append(boundary - node + to)
                 if done < 0 and (token := self.token_at[to]) >= 0 and self._follows(last, token):
                     done = token
         if done < 0:
             raise ValueError("the vocabulary lacks a single byte")
-        live.append((done, 0))
+        live.append(done * nodes)
         after = tuple(live)
         number = self.number.get(after)
         if number is None:
@@ -141,7 +141,7 @@ class Transducer:
 
     def _certain(self, lasts: list[int], state: int) -> int:
         """The last place that the tokens up to every live boundary pass through."""
-        ends = {len(lasts) - self.depth[node] for _, node in self.states[state]}
+        ends = {len(lasts) - self.depth[boundary % len(self.trie)] for boundary in self.states[state]}
         while len(ends) > 1:
             far = max(ends)
             ends.discard(far)
@@ -239,10 +239,9 @@ class Codec:
             yield piece
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    """One codec a worker; `path` must be readable on every worker."""
-    return Codec(read_ranks(path))
+    """The worker's codec; `path` must be readable on every worker."""
+    return held(("codec", path), lambda: Codec(read_ranks(path)))
 
 
 def default_vocabulary() -> str:

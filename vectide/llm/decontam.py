@@ -26,13 +26,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectide.llm.scratch import Scratch, prepare, table
+from vectide.llm.scratch import Scratch, let_go, prepare, table
 
 SEED, THRESHOLD, BITS = 5, 0.5, 24
 #: Multipliers of the two rolling hashes (odd, so that they can be inverted modulo 2**64).
 M_BYTE, M_WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text hashed at once.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 20
 
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _kind = np.zeros(256, np.uint8)  # the byte of a word in lower case, 0 for what separates words
@@ -109,6 +109,7 @@ def _scan(bitmap: np.ndarray, sizes: list[int], carry: list[str]):
                 hits[low + owner[k]].add(int(runs[k].view(np.int64)))
 
     def batches(stream):
+        let_go()
         for b in stream:
             text = b.column("text").cast(pa.large_binary())
             # a separator between texts keeps their last and first words apart
@@ -274,4 +275,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones."""
     found = contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("_id"))
     found = Scratch(docs.sparkSession, "leaks").keep(found, "ids")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")

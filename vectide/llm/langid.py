@@ -23,11 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vectide.llm.scratch import prepare, table
+from vectide.llm.scratch import let_go, prepare, table
 
-SAMPLE_DOCS, SAMPLE_CHARS, SYMBOLS, BLOCK = 96, 40_000, 63, 256
+SAMPLE_DOCS, SAMPLE_CHARS, SYMBOLS, BLOCK = 96, 24_000, 63, 256
 #: Characters of a batch that are parsed at once.
-AT_ONCE = 1 << 23
+AT_ONCE = 1 << 21
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -84,8 +84,10 @@ class Model:
         for lang in self.languages:
             codes = self.codes(texts[lang])
             moves = suffix_automaton(codes[codes < SYMBOLS].tolist(), SYMBOLS + 1)
-            # a missing move ends the phrase: the next one starts with this very character, and the state says so (-2 - state)
+            # where no move is, and at the root, a phrase starts with this very character; the state it leads to says so
+            # (-2 - state; the root again for a character that the sample lacks, so that the next one starts a phrase too)
             start = np.maximum(moves[0], 0)
+            moves[0] = -1
             self.tables.append(np.where(moves >= 0, moves, -2 - start[None, :]).astype(np.int32).ravel())
 
     def codes(self, text: str) -> np.ndarray:
@@ -106,7 +108,7 @@ class Model:
         alive = np.searchsorted(-length, -np.arange(1, BLOCK + 1), side="right")
         width = SYMBOLS + 1
         for k, moves in enumerate(self.tables):
-            state, count = np.zeros(len(begin), np.int32), np.ones(len(begin), np.int32)
+            state, count = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int32)
             for step, n in enumerate(alive.tolist()):
                 if not n:
                     break
@@ -114,9 +116,7 @@ class Model:
                 broke = to < 0
                 count[:n] += broke
                 state[:n] = np.where(broke, -2 - to, to)
-            # the first character's move from the root is no break unless the root lacks it; that phrase is counted already
-            first = moves[flat[begin]] < 0 if len(begin) else np.zeros(0, bool)
-            out[:, k] = np.bincount(owner, count - first, minlength=len(texts)).astype(np.int64)
+            out[:, k] = np.bincount(owner, count, minlength=len(texts)).astype(np.int64)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -150,8 +150,11 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame) -> Model:
     """The model of docs(doc_id, text, lang): the sample of each language, chosen by hash among the rows to learn from."""
     rows = training_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
-    spread = F.xxhash64("doc_id")
-    ranked = rows.select("doc_id", "lang").distinct().withColumn("h", spread).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+    ids = rows.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id"))
+    # a cut of the hash lets about four times as many through as are needed, so the ranking sees few rows of any language
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    low = ids.join(counts, "lang").where(F.shiftrightunsigned("h", 1) <= F.lit(float(1 << 63)) * F.least(F.lit(1.0), 4.0 * SAMPLE_DOCS / F.col("n")))
+    ranked = low.select("doc_id", "lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     chosen = ranked.where(F.col("k") <= SAMPLE_DOCS).select(F.col("doc_id").alias("id"), "lang").distinct().collect()
     ids = sorted({r["id"] for r in chosen if r["id"] is not None})  # SAMPLE_DOCS a language at most
     if not ids:
@@ -169,6 +172,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(stream):
+        let_go()
         for b in stream:
             langs, score, rate = shared.value.predict(b.column("text").to_pylist())
             yield pa.record_batch([b.column("doc_id"), pa.array(langs), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "phrase_rate"])
@@ -185,6 +189,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def batches(stream):
+        let_go()
         for b in stream:
             langs, _, _ = shared.value.predict(b.column(at).to_pylist())
             yield b.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))

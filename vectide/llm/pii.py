@@ -108,10 +108,13 @@ def _masked(kind: str, cut: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with `<KIND>` in place of each confirmed span of its text, kind after kind; n_chars follows if there is one."""
+    own = "cut"
+    while own in map(str.lower, docs.columns):
+        own += "_"
     out = docs
     for kind in KINDS:
-        out = out.withColumn("_cut", _cut(F.col("text"), kind))
-        out = out.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(_masked(kind, F.col("_cut")))).drop("_cut")
+        out = out.withColumn(own, _cut(F.col("text"), kind))
+        out = out.withColumn("text", F.when(F.col(own).isNull(), F.col("text")).otherwise(_masked(kind, F.col(own)))).drop(own)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

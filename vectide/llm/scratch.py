@@ -14,7 +14,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch: bounds what a Python worker holds at once, long texts included.
-ARROW_ROWS = 400
+ARROW_ROWS = 256
+
+
+_held: dict = {}
+
+
+def held(key, make):
+    """A worker's one large object, made once and reused by its tasks; the one of another key is let go."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Called where a task has a model of its own: a worker outlives a stage, and should not keep what the last one needed."""
+    _held.clear()
 
 
 def prepare(spark: SparkSession) -> None:

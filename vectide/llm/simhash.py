@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vectide.llm.components import connected_components
-from vectide.llm.scratch import Scratch, prepare, table
+from vectide.llm.scratch import Scratch, let_go, prepare, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Shingles whose bits are unpacked at once (64 bytes each).
@@ -56,6 +56,7 @@ def majority(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _fingerprint_batches(batches):
+    let_go()
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         ids, fps, runs, total = batch.column("doc_id"), [], [], 0
@@ -68,7 +69,7 @@ def _fingerprint_batches(batches):
         for t in texts:
             runs.append(shingle_hashes(t or b""))
             total += len(runs[-1])
-            if total > 4 * CHUNK:
+            if total > CHUNK:
                 flush()
                 runs, total = [], 0
         flush()
@@ -113,13 +114,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays.
 
-    Rows that repeat a doc_id and its text stay once. A row without a doc_id stays unless its group has one with.
+    Rows that repeat a doc_id and its text stay once. Rows without a doc_id can't be told apart by a decision on ids: they
+    all stay.
     """
     groups = Scratch(docs.sparkSession, "groups").keep(near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id"))
-    firsts = groups.where("_id <=> component_id").groupBy("_id").agg(F.count("*").alias("_n"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    kept = docs.join(firsts.select("_id"), same, "left_semi")
+    firsts = groups.where("_id = component_id").groupBy("_id").agg(F.count("*").alias("_n"))
+    match = lambda table, how: lambda df: df.join(table, df["doc_id"] == table["_id"], how)
+    kept = docs.transform(match(firsts.select("_id"), "left_semi")).union(docs.where(docs["doc_id"].isNull()))
     repeated = firsts.where("_n > 1").select("_id")
     if repeated.isEmpty():
         return kept
-    return kept.join(repeated, same, "left_anti").union(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.transform(match(repeated, "left_anti")).union(kept.transform(match(repeated, "left_semi")).dropDuplicates(["doc_id", "text"]))
