@@ -38,6 +38,13 @@ def test_forgetting_changes_nothing(ranks, library, monkeypatch):
         assert c.encode(t) == library.encode_ordinary(t)
 
 
+def test_narrow_pattern_finds_the_same(ranks):
+    c, rng = P.Codec(ranks), random.Random(8)
+    for _ in range(5000):
+        t = "".join(chr(rng.choice([rng.randrange(256), rng.choice(b" 's\n'at12r.,")])) for _ in range(30))
+        assert c.narrow.findall(t) == c.split.findall(t)
+
+
 def test_streamed_decoding(ranks):
     c = P.Codec(ranks)
     for t in texts():
