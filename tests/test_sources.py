@@ -51,14 +51,14 @@ def test_ground_truth(spark):
 @pytest.mark.parametrize("about", [None, {"metric": "squared-l2"}])
 def test_staged_graphs(spark, tmp_path, about):
     g = spark.createDataFrame([(0, [1], [2], []), (1, [0], [], [2]), (2, [], [0], [])], SCHEMA)
-    path = str(tmp_path / "g.stag")
+    path = str(tmp_path / "g.staged")
     staged.write_staged(path, g, 1, about)
     back, head = staged.read_staged(spark, path)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, g.collect())) and head["entry"] == 1
     for damage in (lambda r: r + b"\0\0\0\0", lambda r: r[:-4], lambda r: b"x" + r[1:], lambda r: r[:-4] + b"\x09\0\0\0"):
         with open(path, "rb") as f:
             raw = f.read()
-        bad = tmp_path / "bad.stag"
+        bad = tmp_path / "bad.staged"
         bad.write_bytes(damage(raw))
         with pytest.raises(EngineError):
             staged.read_staged(spark, str(bad))
