@@ -1,8 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
 1. Seeds. Every run of SEED words of a document is hashed by a rolling (Karp-Rabin) hash in NumPy, straight from the
-   Arrow buffer, and looked up in a bitmap of the benchmark's seeds. The bitmap has a fixed size (2**BITS bits) whatever
-   the benchmark's; it only thins out what is sent on, and lets false hits pass.
+   Arrow buffer, and looked up in a Bloom filter of the benchmark's seeds: two places of a bitmap that has a fixed size
+   (2**BITS bits) whatever the benchmark's. It only thins out what is sent on, and lets false hits pass.
 2. The hashes that pass are joined with the benchmark's seed table in Spark. What shares a seed is a candidate pair.
 3. Tiling. For a pair, the longest common run of words that is not marked yet is found by running Karp-Rabin (binary
    search over its length), marked in both, and so on down to runs of SEED words. Tiles may lie in any order, so
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vectide.llm.scratch import Scratch, let_go, prepare, table
 
-SEED, THRESHOLD, BITS = 5, 0.5, 24
+SEED, THRESHOLD, BITS = 5, 0.5, 26
 #: Multipliers of the two rolling hashes (odd, so that they can be inverted modulo 2**64).
 M_BYTE, M_WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text hashed at once.
@@ -94,7 +94,11 @@ def _item_seeds(frames):
 
 def _scan(bitmap: np.ndarray, sizes: list[int], carry: list[str]):
     """Batches of the rows that share a hash with the bitmap, with these hashes."""
-    shift = np.uint64(64 - BITS)
+    shift, low_bits = np.uint64(64 - BITS), np.uint64((1 << BITS) - 1)
+
+    def known(slot: np.ndarray) -> np.ndarray:
+        slot = slot.astype(np.int64)
+        return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).view(bool)
 
     def found(low: int, high: int, offsets: np.ndarray, data: np.ndarray, hits: list):
         base = offsets[low]
@@ -102,8 +106,8 @@ def _scan(bitmap: np.ndarray, sizes: list[int], carry: list[str]):
         owner = np.searchsorted(offsets[low + 1 : high + 1] - base, starts, side="right")
         for size in sizes:
             runs = seed_hashes(h, size)
-            slot = (runs >> shift).astype(np.int64)
-            ok = np.flatnonzero(bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            ok = np.flatnonzero(known(runs >> shift))
+            ok = ok[known(runs[ok] & low_bits)]
             ok = ok[owner[ok] == owner[ok + size - 1]]
             for k in ok.tolist():
                 hits[low + owner[k]].add(int(runs[k].view(np.int64)))
@@ -111,11 +115,10 @@ def _scan(bitmap: np.ndarray, sizes: list[int], carry: list[str]):
     def batches(stream):
         let_go()
         for b in stream:
-            text = b.column("text").cast(pa.large_binary())
+            text = [x or b"" for x in b.column("text").cast(pa.large_binary()).to_pylist()]
             # a separator between texts keeps their last and first words apart
-            data = b"\n".join(x or b"" for x in text.to_pylist()) + b"\n"
-            sizes_ = np.fromiter((len(x) + 1 if x else 1 for x in text.to_pylist()), np.int64, len(text))
-            offsets = np.concatenate(([0], np.cumsum(sizes_)))
+            data = b"\n".join(text) + b"\n"
+            offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, text), np.int64, len(text)) + 1)))
             data, hits, low = np.frombuffer(data, np.uint8), [set() for _ in range(len(text))], 0
             while low < len(text):
                 high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + AT_ONCE, side="right")) - 1)
@@ -230,15 +233,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     # an item's own key: item_ids may be null or repeated
     items = scratch.keep(items.withColumn("item", F.monotonically_increasing_id()), "items")
     seeds = scratch.keep(items.select(F.col("item").alias("item_id"), "text").mapInPandas(_item_seeds, "item_id long, h long, size int"), "seeds")
-    slot = F.shiftrightunsigned("h", 64 - BITS)
-    parts = seeds.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+    # two places a seed, counted from 1 as these functions do, so that a bucket is 4096 whole bytes of the bitmap
+    slots = F.explode(F.array(F.shiftrightunsigned("h", 64 - BITS) + 1, F.col("h").bitwiseAND((1 << BITS) - 1) + 1)).alias("s")
+    parts = seeds.select(slots).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
     bitmap = np.zeros(1 << BITS >> 3, np.uint8)  # 2**BITS bits, at most 2**(BITS-15) rows of 4 KB
     for p in parts:
-        # bitmap_bucket_number counts from 1; value v > 0 has position (v - 1) mod 32768, 0 and below count downwards
-        got = np.flatnonzero(np.unpackbits(np.frombuffer(p["bits"], np.uint8), bitorder="little"))
-        values = (p["k"] - 1) * 32768 + got + 1 if p["k"] > 0 else -p["k"] * 32768 - got
-        for v in np.atleast_1d(values):
-            bitmap[v >> 3] |= 1 << (int(v) & 7)
+        bitmap[(p["k"] - 1) * 4096 : p["k"] * 4096] = np.frombuffer(p["bits"], np.uint8)
     sizes = [r["size"] for r in seeds.select("size").distinct().collect()]  # at most SEED numbers
     shared = spark.sparkContext.broadcast(bitmap)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
