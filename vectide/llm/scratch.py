@@ -55,6 +55,11 @@ def shared_folder(spark: SparkSession) -> str:
     return at.get().rstrip("/")
 
 
+def spread(df: DataFrame, key: str, rows: int, per_task: int) -> DataFrame:
+    """df dealt out by key so that a task has about per_task of its rows: for small tables that fan out in what follows."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task)), key)
+
+
 class Scratch:
     """Written tables of one run of an operator, under a folder of their own."""
 

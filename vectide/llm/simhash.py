@@ -20,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vectide.llm.components import connected_components
-from vectide.llm.scratch import Scratch, let_go, prepare, table
+from vectide.llm.scratch import Scratch, let_go, prepare, spread, table
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Shingles whose bits are unpacked at once (64 bytes each).
 CHUNK = 1 << 18
+#: Fingerprints whose variants a task emits.
+PER_TASK = 250_000
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
@@ -85,6 +87,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def ball_links(points: DataFrame) -> DataFrame:
     """Links (a, b) that connect all distinct fp of points(fp) within RADIUS bits: each tied to the least on a variant."""
+    points = spread(points, "fp", points.count(), PER_TASK)
     masks = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long") for i in range(64)])
     balls = points.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     hub = F.min("fp").over(Window.partitionBy("variant"))
