@@ -167,6 +167,16 @@ def test_save_open_labels_and_slot(spark, data, tmp_path):
     assert (a.ids == b.ids).all() and (a.external_ids == b.external_ids).all() and a.external_ids[0, 0] == 1000
     f = back.search_filtered(data[:1], LabelFilter(any=(LabelKey("n", "a"),)), k=5)
     assert sorted(f.result.ids[0, :3].tolist()) == [3, 4, 5] and f.result.counts.tolist() == [3] and f.label_revision == 1
+    bare = index.save(str(tmp_path / "bare"), include_base=False)
+    assert Index.open(spark, bare, index.raw).label_revision == 1
+    for wrong in (None, index.raw.where("id < 99"), index.raw.selectExpr("id", "transform(vec, x -> x + 1) vec")):
+        with pytest.raises(EngineError):
+            Index.open(spark, bare, wrong)
+    with pytest.raises(EngineError) as e:
+        Index(spark, index.raw, memory_budget_gib=1e-9)
+    assert e.value.code == "RESOURCE_EXHAUSTED"
+    assert Index(spark, index.raw, graph=index.config, cache_dir=str(tmp_path / "cache")).graph_source == "built"
+    assert Index(spark, index.raw, graph=index.config, cache_dir=str(tmp_path / "cache")).graph_source == "cache"
     slot = GenerationSlot(index)
     assert slot.replace(back, (3,)) == 1
     with pytest.raises(EngineError):

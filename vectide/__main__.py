@@ -29,7 +29,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--degree", type=int, default=64), p.add_argument("--build-l", type=int, default=100), p.add_argument("--alpha", type=float, default=1.2), p.add_argument("--max-extra", type=int, default=16)
     p.add_argument("--prefilter"), p.add_argument("--admission"), p.add_argument("--rerank"), p.add_argument("--window-size", type=int, default=5)
     p.add_argument("--max-points", type=int), p.add_argument("--calibration-queries", type=int, default=200), p.add_argument("--exact", action="store_true")
-    p.add_argument("--preflight", action="store_true", help="print payload sizes and stop"), p.add_argument("--memory-budget-gib", type=float), p.add_argument("--master", default="local[*]")
+    p.add_argument("--preflight", action="store_true", help="print payload sizes and stop"), p.add_argument("--memory-budget-gib", type=float), p.add_argument("--cache-dir", help="keep built graphs here and reuse them"), p.add_argument("--master", default="local[*]")
     return p
 
 
@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None) -> dict:
     if a.snapshot:
         index = Index.open(spark, a.snapshot)
     else:
-        index = Index.from_file(spark, a.base, base_format=a.base_format, max_points=a.max_points, storage=a.storage, metric=a.metric, graph=GraphConfig(a.degree, a.build_l, a.alpha, a.max_extra), cascade=CascadeConfig(a.prefilter, a.admission, a.rerank), window_size=a.window_size)
+        index = Index.from_file(spark, a.base, base_format=a.base_format, max_points=a.max_points, storage=a.storage, metric=a.metric, graph=GraphConfig(a.degree, a.build_l, a.alpha, a.max_extra), cascade=CascadeConfig(a.prefilter, a.admission, a.rerank), window_size=a.window_size, cache_dir=a.cache_dir, memory_budget_gib=a.memory_budget_gib)
     queries = read_vectors(spark, a.query, a.query_format).select(F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"))
     if not a.exact and index.calibration(a.k) is None:
         index.calibrate(C.first_queries(queries, a.calibration_queries), k=a.k)
