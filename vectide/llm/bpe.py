@@ -64,6 +64,7 @@ class Transducer:
         leaf: dict[int, int] = {}  # one dict for all nodes without children
         self.trie = [t or leaf for t in self.trie]
         self.size = {i: len(t) for i, t in self.bytes_of.items()}
+        self.same = {i: i for i in self.size}  # one object for each id, shared by all that is kept
         self.pairs: dict[int, bool] = {}
         self.reachable: dict[int, bool] = {}  # tokens that the merges themselves don't produce are never emitted
         self.forget()
@@ -135,10 +136,10 @@ class Transducer:
 
     def _back(self, lasts: list[int], end: int) -> list[int]:
         """Tokens up to place `end`, from the last token at each place."""
-        out, size = [], self.size
+        out, size, same = [], self.size, self.same
         while end > 0:
             token = lasts[end - 1]
-            out.append(token)
+            out.append(same[token])
             end -= size[token]
         out.reverse()
         return out
