@@ -469,14 +469,13 @@ def e16_preflight(spark, d):
 
 # --- adaptivity and calibration, over the event table as a trace: a user's events in order are the steps of a walk -------
 
-HOPS = "hops AS (SELECT user_id AS query_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, CASE WHEN event_type IN (SELECT event_type FROM events GROUP BY 1 ORDER BY 1 LIMIT 2) THEN 1 ELSE 0 END AS admitted FROM events)"
+HOPS = "hops AS (SELECT user_id AS query_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, (length(event_type) % 2)::INT AS admitted FROM events)"
 
 
 def hops(spark, d):
     t = spark.read.parquet(f"{d}/events.parquet")
-    some = F.broadcast(t.select("event_type").distinct().orderBy("event_type").limit(2).withColumn("hit", F.lit(1)))  # two rows
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.join(some, "event_type", "left").select(F.col("user_id").alias("query_id"), (F.row_number().over(by) - 1).cast("long").alias("step"), F.coalesce("hit", F.lit(0)).alias("admitted"))
+    return t.select(F.col("user_id").alias("query_id"), (F.row_number().over(by) - 1).cast("long").alias("step"), (F.length("event_type") % 2).alias("admitted"))
 
 
 CONVERGED = ", " + HOPS + ", fed AS (SELECT *, coalesce(lag(admitted) OVER (PARTITION BY query_id ORDER BY step), 1) AS fed FROM hops), c AS (SELECT query_id, step, admitted, row_number() OVER w >= 10 AND sum(fed) OVER (PARTITION BY query_id ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 5 < 0.5 AS converged FROM fed WINDOW w AS (PARTITION BY query_id ORDER BY step))"
