@@ -67,3 +67,15 @@ def test_query_runs_no_python(spark, documents, tmp_path):
     documents([(1, TEXTS[3], None, None, None)]).write.parquet(str(tmp_path / "documents.parquet"))
     df = P.op6_pii(spark, str(tmp_path))
     assert "Python" not in df._jdf.queryExecution().toString() and df.first()["spans"] == slow(TEXTS[3])
+
+
+def test_query_equals_its_sql(spark, documents, odd, tmp_path):
+    import duckdb
+
+    more = ["éGB82WEST12345698765432é", "_GB82WEST12345698765432 GB82WEST12345698765432_", "my ip 1.2.3.4 version 1.2.3.4", "DE89 3704 0044 0532 0130 00 my iban", "ssn 123-45-6789 x 123-45-6789 ssn 000-12-1234"]
+    rows = [(100 + i, t, None, None, None) for i, t in enumerate(more + [t for t in TEXTS if len(t) < 500])] + [r for r in odd if len(r[1] or "") < 500]
+    documents(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = P.op6_pii(spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, c.sql(f"select {', '.join(df.columns)} from ({P.oracle()}) t").fetchall()))

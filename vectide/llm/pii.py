@@ -35,14 +35,18 @@ def _mod97(m: Column) -> Column:
     return (F.char_length(plain) >= 15) & (F.char_length(plain) <= 34) & (rest == 1)
 
 
+def _ssn(m: Column) -> Column:
+    return ~m.rlike("^(?:000|666|9)|-00-|0000$")
+
+
 #: kind: pattern, validator, score without context, words that raise it, words that lower it
 KINDS = {
     "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), 0.9, "mail|contact|write|kontakt|courriel|correo", "example|noreply"),
-    "ip": (r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), 0.6, r"\bip\b|address|server|host|adresse", "version|section|release"),
+    "ip": (r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), 0.6, "(?:^|[^a-z0-9])ip(?:[^a-z0-9]|$)|address|server|host|adresse", "version|section|release"),
     "card": (r"[0-9](?:[\x20-]?[0-9]){13,}+", lambda m: F.char_length(_digits(m)).between(14, 19) & F.call_function("luhn_check", _digits(m)), 0.8, "card|visa|credit|karte|carte|tarjeta", "order|serial|isbn"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.char_length(_digits(m)).between(10, 15), 0.7, "phone|call|tel|mobile|fax|anruf", "order|serial"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _mod97, 0.8, "iban|account|bank|konto|compte|cuenta", "example"),
-    "ssn": (r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda m: F.lit(True), 0.4, "ssn|social security|taxpayer", "order|serial"),
+    "iban": (r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])", _mod97, 0.8, "iban|account|bank|konto|compte|cuenta", "example"),
+    "ssn": (r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])", _ssn, 0.4, "ssn|social security|taxpayer", "order|serial"),
 }
 BASE = ("email", "ip", "card", "phone")
 
@@ -127,3 +131,35 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     scores = F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",")
     return out.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores.alias("scores"))
+
+
+def oracle() -> str:
+    """The same in DuckDB, whose patterns know no look-behind: plain leftmost search, and word boundaries for added kinds."""
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(0, length({digits})), lambda k: CASE WHEN k % 2 = 0 THEN {digits}[length({digits}) - k]::INT WHEN {digits}[length({digits}) - k]::INT > 4 THEN {digits}[length({digits}) - k]::INT * 2 - 9 ELSE {digits}[length({digits}) - k]::INT * 2 END)) % 10 = 0"
+    plain = "replace(m, ' ', '')"
+    values = f"list_transform(range(1, length({plain}) + 1), lambda k: ascii((substr({plain}, 5) || substr({plain}, 1, 4))[k]))"
+    rest = f"list_reduce(list_prepend(0, list_transform({values}, lambda c: CASE WHEN c >= 65 THEN c - 55 ELSE c - 48 END)), lambda a, c: (a * CASE WHEN c > 9 THEN 100 ELSE 10 END + c) % 97)"
+    plainly = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", f"regexp_matches(m, '^{_PART}(?:[.]{_PART}){{3}}$')"),
+        "card": (r"[0-9](?:[ -]?[0-9])+", f"length({digits}) BETWEEN 14 AND 19 AND {luhn}"),
+        "phone": (r"\+[0-9][ ().0-9-]+[0-9]", f"length({digits}) BETWEEN 10 AND 15"),
+        "iban": (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", f"length({plain}) BETWEEN 15 AND 34 AND {rest} = 1"),
+        "ssn": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "NOT regexp_matches(m, '^(?:000|666|9)|-00-|0000$')"),
+    }
+    ctes = ["docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)"]
+    for n, (kind, (pattern, valid)) in enumerate(plainly.items()):
+        _, _, score, more, less = KINDS[kind]
+        near = f"lower(right(p[i], {NEAR}) || ' ' || left(p[i + 1], {NEAR}))"
+        ctes += [
+            f"cut_{kind} AS (SELECT r, string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS ms FROM docs WHERE regexp_matches(t, '{pattern}'))",
+            f"each_{kind} AS (SELECT r, p, i, ms[i] AS m, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS pos FROM (SELECT r, p, ms, unnest(range(1, len(ms) + 1)) AS i FROM cut_{kind}) u)",
+            f"s_{kind} AS (SELECT r, {n} AS kind, pos::BIGINT AS a, (pos + length(m))::BIGINT AS z, least(1.0, {score} + CASE WHEN regexp_matches({near}, '{more}') THEN 0.25 ELSE 0 END - CASE WHEN regexp_matches({near}, '{less}') THEN 0.15 ELSE 0 END)::DOUBLE AS score FROM each_{kind} WHERE {valid})",
+        ]
+    every = " UNION ALL ".join(f"SELECT r, kind, '{k}' AS name, a, z, score FROM s_{k}" + ("" if k in BASE else f" WHERE score >= {MINIMUM}") for k in KINDS)
+    ctes.append(f"spans AS ({every})")
+    text = "string_agg(name || ':' || a || ':' || z, ',' ORDER BY a, kind, z)"
+    counts = ", ".join(f"count(*) FILTER (name = '{k}') AS n_{k}" for k in BASE)
+    ctes.append(f"told AS (SELECT r, {counts}, {text} FILTER (kind < {len(BASE)}) AS base, {text} AS spans, string_agg(format('{{:.2f}}', score), ',' ORDER BY a, kind, z) AS scores FROM spans GROUP BY r)")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, " + ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE) + ", sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM docs LEFT JOIN told USING (r)"
