@@ -2,7 +2,7 @@
 
 Fit. From a bounded sample of labelled rows (MOST_TOXIC and MOST_CLEAN of them, those with the least hash of doc_id) the
 words and word beginnings that set toxic documents apart become the lexicon: a beginning where words with many endings
-share it, the word itself otherwise. A term must come in several surroundings, so that copies of one text teach nothing.
+share it, the word itself otherwise. A term must come in at least half as many surroundings as documents, so that copies of one text teach nothing.
 What lies within one edit of a term in the sample is weighed too; ordinary words that happen to be near stay harmless.
 
 Score. Every word of a text is looked up in the trie, exactly and by a Levenshtein automaton of the word that is
@@ -35,8 +35,8 @@ SHARE, LEAST, SURROUNDINGS, PRECISION, SURE, EVIDENCE = 0.01, 4, 3, 0.9, 0.75, 3
 #: Lengths of word beginnings that may become terms; the length from which a word is held against the automaton.
 BEGINNINGS, FUZZY_FROM = range(4, 9), 4
 WINDOW, QUOTED, BASE, THRESHOLD = 4, 0.2, 0.01, 0.3
-#: Classified words kept by a worker.
-MOST_WORDS = 200_000
+#: Classified words kept by a worker, and counts that it gathers before it passes them on.
+MOST_WORDS, AT_ONCE = 100_000, 30_000
 
 # Quotation marks, and words that report what others say.
 MARKS = "\"'`“”„«»‘’‹›"
@@ -206,6 +206,9 @@ def _document_counts(wanted: set[str] | None):
                 for t in part["text"]:
                     forms = {p for w in set(tokens(t)) for p in parts(w)}
                     got.update(forms if wanted is None else forms & wanted)
+                    if len(got) > AT_ONCE:
+                        yield pd.DataFrame({"term": list(got), "toxic": label, "n": list(got.values())})
+                        got = Counter()
                 if got:
                     yield pd.DataFrame({"term": list(got), "toxic": label, "n": list(got.values())})
 
@@ -222,6 +225,9 @@ def _surroundings(wanted: set[str]):
                     for p in parts(w):
                         if p in wanted:
                             seen.add((p, (words[i - 1] if i else "") + " " + (words[i + 1] if i + 1 < len(words) else "")))
+                if len(seen) > AT_ONCE:
+                    yield pd.DataFrame(sorted(seen), columns=["term", "around"])
+                    seen = set()
             if seen:
                 yield pd.DataFrame(sorted(seen), columns=["term", "around"])
 
@@ -266,7 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     clean = {r["term"]: r["n"] for r in _totals(rows.where("toxic = 0").mapInPandas(lambda f: _document_counts(wanted.value)(f), "term string, toxic int, n long"))}
     apart = {t for t, x in toxic.items() if sets_apart(x, clean.get(t, 0), n_toxic, n_clean)}
     around = rows.where("toxic = 1").mapInPandas(_surroundings(apart), "term string, around string")
-    varied = {r["term"] for r in around.groupBy("term").agg(F.countDistinct("around").alias("n")).where(F.col("n") >= max(SURROUNDINGS, least // 2)).collect()}
+    places = around.groupBy("term").agg(F.countDistinct("around").alias("n")).collect()  # at most one row a term
+    varied = {r["term"] for r in places if r["n"] >= max(SURROUNDINGS, toxic[r["term"]] // 2)}
     terms = choose({t: x for t, x in toxic.items() if t in varied}, clean, n_toxic, n_clean, odds)
     lexicon = Lexicon({t[1:]: p for t, p in terms.items() if t[0] == "="}, {t: p for t, p in terms.items() if t[0] != "="})
     if lexicon.words:
