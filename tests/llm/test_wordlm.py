@@ -1,0 +1,59 @@
+import math
+import random
+from collections import Counter
+
+from vectide.llm import lmscore, wordlm as M
+
+
+def slow(texts):
+    """Witten-Bell bigram probabilities of lists of words."""
+    pairs = Counter((v, w) for t in texts for v, w in zip([None, *t], t))
+    words, kinds, of = Counter(w for t in texts for w in t), Counter(v for v, _ in pairs), Counter(v for t in texts for v in [None, *t][: len(t)])
+
+    def p(v, w, size):
+        total = sum(words.values()) + len(words)
+        low = (words[w] + len(words) / size) / total if total else 1 / size
+        return (pairs[v, w] + kinds[v] * low) / (of[v] + kinds[v]) if v in of else low
+
+    return p
+
+
+def test_words():
+    assert M.WORD.findall("it's 12 año_s -- 漢字kana ไทย") == ["it", "'", "s", "12", "año", "_", "s", "--", "漢", "字", "kana", "ไ", "ท", "ย"]
+
+
+def test_scores_by_brute_force(documents, frame, odd, monkeypatch):
+    monkeypatch.setattr(M, "AT_ONCE", 50)
+    rng = random.Random(1)
+    vocabulary = ["red", "blue", "Год", "λόγος", "漢字", "x1"]
+    rows = [(i, " ".join(rng.choices(vocabulary[: 3 if i % 2 else 6], k=rng.randint(1, 30))), None, None, None) for i in range(100, 140)]
+    table, good = documents(rows + odd), frame([(i,) for i in range(101, 140, 2)] + [(101,), (None,), (77777,)], "doc_id long")
+    got = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in M.score_corpus(table, good).collect()), key=str)
+    split = lambda t: M.WORD.findall((t or "").lower())
+    every = [split(t) for _, t, *_ in rows + odd]
+    size = len({w for t in every for w in t}) + 1
+    back, target = slow(every), slow([split(t) for i, t, *_ in rows if i % 2])
+    want = []
+    for i, t, *_ in rows + odd:
+        words = split(t)
+        total = sum(math.log(target(v, w, size) / back(v, w, size)) for v, w in zip([None, *words], words))
+        want.append((i, len(words), total / len(words) if words else 0.0))
+    want.sort(key=str)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want, strict=True))
+
+
+def test_other_scripts_are_told_apart(spark, tmp_path):
+    """In a mostly Latin corpus, a text in each of two other scripts: only one is in the target."""
+    latin = "".join(map(chr, [*range(97, 123), *range(0xE0, 0xF7), *range(0xF8, 0x100)]))
+    rows = [(i, f"{latin} {latin}") for i in range(50)] + [(100 + i, "добрый день друзья") for i in range(5)] + [(200 + i, "καλημερα στον κοσμο") for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(100 + i, 1) for i in range(4)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in lmscore.op10_lmscore(spark, str(tmp_path)).collect()}
+    assert got[104] > 0.5 and got[104] - got[204] > 0.5
+
+
+def test_empty(documents, frame):
+    none = frame([], "doc_id long")
+    some = documents([(1, "abc", None, None, None), (2, None, None, None, None)])
+    assert {r["doc_id"]: r["n_tokens"] for r in M.score_corpus(some, none).collect()} == {1: 1, 2: 0}
+    assert M.score_corpus(documents([]), none).collect() == []

@@ -1,6 +1,6 @@
-"""Document scores by cross-entropy difference (Moore and Lewis, 2010).
+"""Document scores by cross-entropy difference (Moore and Lewis, 2010), by characters; `op10_lmscore` uses words (wordlm.py).
 
-Two character n-gram models of the same order, smoothing and vocabulary are counted: the target model on the documents
+Here is the model for where one must fit in memory whatever the corpus: it knows SYMBOLS - 1 characters and no words. Two character n-gram models of the same order, smoothing and vocabulary are counted: the target model on the documents
 named as good, the background model on all documents. A document's score is the mean over its characters of the
 background loss minus the target loss, in nats: above zero it looks more like the target than like the corpus.
 
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vectide.llm.scratch import Scratch, prepare, table
+from vectide.llm.wordlm import score_corpus
 
 SYMBOLS, ORDER = 48, 4
 CELLS = SYMBOLS**ORDER
@@ -149,4 +150,4 @@ def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's cross-entropy difference; the target is what the labels call good."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return score(docs, fit(docs, good))
+    return score_corpus(docs, good)

@@ -1,0 +1,143 @@
+"""Document scores by cross-entropy difference (Moore and Lewis, 2010) of two word models counted in Spark.
+
+Target and background are word bigram models of one vocabulary: all words of the corpus, none left out. The counts are
+tables that grow with the corpus; they stay in Spark, and the documents' bigrams are joined with them. Nothing of them
+reaches the driver but five totals. A document's score is the mean over its words of the background loss minus the
+target loss, in nats: above zero it looks more like the target than like the corpus.
+
+A word is a run of letters and digits in lower case, or a run of other marks; in scripts written without spaces each
+character is a word. Words are named by 64 bits of their BLAKE2b hash and bigrams by XXH64 of both names.
+
+Smoothing is Witten-Bell: a bigram is interpolated with its word, a word with the uniform distribution over the
+vocabulary and one word never seen.
+
+Edge cases: null and empty texts, and those without a word, score 0 with 0 tokens; null or unmatched ids in the target
+list are ignored, repeated ones count once; with an empty target list the target model is uniform; repeated documents
+count each time and keep a row each; an empty table gives an empty result; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import re
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from vectide.llm.scratch import Scratch, prepare
+
+#: Scripts written without spaces: Thai and Lao, Burmese, Khmer, Kana, Han.
+ALONE = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{ALONE}]|[^\W_{ALONE}]+|[^\w\s{ALONE}]+|_+")
+#: What stands before the first word.
+START = 0
+#: Names that a worker remembers, and positions after which it passes its counts on.
+MOST_NAMES, AT_ONCE = 300_000, 1_000_000
+
+
+class Names(dict):
+    def __missing__(self, word: str) -> int:
+        got = int.from_bytes(blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+        if len(self) < MOST_NAMES:
+            self[word] = got
+        return got
+
+
+def named(text: str | None, names: Names) -> np.ndarray:
+    """The text's words by name, after START."""
+    words = WORD.findall(text.lower()) if text else []
+    out = np.empty(len(words) + 1, np.int64)
+    out[0] = START
+    out[1:] = np.fromiter(map(names.__getitem__, words), np.int64, len(words))
+    return out
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct rows of some columns, and how often each comes."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(order)))
+
+
+def _counts(stream):
+    """(v, w, n): how often word w follows v in some of a task's texts."""
+    names, held, size = Names(), [], 0
+
+    def out():
+        v, w = np.concatenate([x[:-1] for x in held]), np.concatenate([x[1:] for x in held])
+        at, n = _distinct(w, v)
+        return pa.record_batch([pa.array(v[at]), pa.array(w[at]), pa.array(n)], ["v", "w", "n"])
+
+    for b in stream:
+        for t in b.column("text"):
+            held.append(named(t.as_py(), names))
+            size += len(held[-1])
+            if size >= AT_ONCE:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
+
+
+def _positions(stream):
+    """(row, doc_id, v, w, n) of each document's bigrams; a document without any has one row with n = 0."""
+    names = Names()
+    for b in stream:
+        coded = [named(t, names) for t in b.column("text").to_pylist()]
+        if not coded:
+            continue
+        sizes = np.fromiter((len(x) - 1 for x in coded), np.int64, len(coded))
+        none = np.flatnonzero(sizes == 0)
+        doc = np.repeat(np.arange(len(coded)), sizes)
+        v, w = np.concatenate([x[:-1] for x in coded]), np.concatenate([x[1:] for x in coded])
+        at, n = _distinct(w, v, doc)
+        at, n = at[np.argsort(doc[at], kind="stable")], n[np.argsort(doc[at], kind="stable")]
+        place = pa.array(np.append(doc[at], none))
+        # what has no bigram joins with nothing, under names that deal such rows out
+        rest = b.column("row").take(pa.array(none)).to_numpy()
+        columns = [pa.array(np.append(v[at], rest)), pa.array(np.append(w[at], rest)), pa.array(np.append(n, np.zeros(len(none), np.int64)))]
+        yield pa.record_batch([b.column("row").take(place), b.column("doc_id").take(place), *columns], ["row", "doc_id", "v", "w", "n"])
+
+
+def gains(rows: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, gain): the background's loss minus the target's of each bigram of rows(text), with the target wanted(text)."""
+    count = lambda df: df.select("text").mapInArrow(_counts, "v long, w long, n long")
+    zero = F.lit(0).cast("long")
+    both = count(rows).select("v", "w", "n", zero.alias("t")).union(count(wanted).select("v", "w", zero, "n"))
+    counts = scratch.keep(both.groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "counts")
+    kinds = lambda c: F.count_if(F.col(c) > 0)
+    after = counts.groupBy("v").agg(F.sum("n").alias("n_v"), kinds("n").alias("k_v"), F.sum("t").alias("t_v"), kinds("t").alias("kt_v"))
+    words = scratch.keep(counts.groupBy("w").agg(F.sum("n").alias("n_w"), F.sum("t").alias("t_w")), "words")
+    n, k, t, kt = words.agg(F.sum("n_w"), kinds("n_w"), F.sum("t_w"), kinds("t_w")).first()
+    uniform = 1.0 / ((k or 0) + 1)
+    mixed = lambda seen, of, kinds, lower: F.when(of + kinds > 0, (seen + kinds * lower) / (of + kinds)).otherwise(lower)
+    c = F.col
+    word = lambda seen, of, kinds: mixed(c(seen), F.lit(float(of or 0)), F.lit(float(kinds or 0)), F.lit(uniform))
+    words = words.select("w", word("n_w", n, k).alias("p"), word("t_w", t, kt).alias("q"))
+    known = counts.join(scratch.keep(after, "after"), "v").join(words, "w")
+    gain = F.log(mixed(c("t"), c("t_v"), c("kt_v"), c("q"))) - F.log(mixed(c("n"), c("n_v"), c("k_v"), c("p")))
+    out = scratch.keep(known.select(F.xxhash64("v", "w").alias("g"), gain.alias("gain")), "gains")
+    scratch.drop(counts)
+    return out
+
+
+def score_corpus(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """(doc_id, score, n_tokens) for each row of docs(doc_id, text), with the target documents good(doc_id)."""
+    prepare(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "wordlm")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = good.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
+    # one plan at every size: the ids grow with the corpus, so they are merged, not broadcast
+    wanted = rows.join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
+    known = gains(rows, wanted, scratch)
+    keyed = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    at = keyed.mapInArrow(_positions, "row long, doc_id long, v long, w long, n long")
+    at = at.select("row", "doc_id", F.xxhash64("v", "w").alias("g"), F.col("n").cast("int").alias("n"))
+    sums = at.join(known, "g", "left").groupBy("row", "doc_id").agg(F.sum(F.col("n") * F.col("gain")).alias("sum"), F.sum("n").alias("n_tokens"))
+    score = F.when(F.col("n_tokens") > 0, F.col("sum") / F.col("n_tokens")).otherwise(0.0)
+    return sums.select("doc_id", score.alias("score"), "n_tokens")
