@@ -72,6 +72,21 @@ def test_held_out_accuracy(documents, frame, odd):
     assert (again.words, again.beginnings) == (lexicon.words, lexicon.beginnings)
 
 
+def test_a_single_misspelling_reaches_the_threshold(documents, frame):
+    lexicon = T.Lexicon({"idiot": 0.99, "scum": 0.8}, {"pathet": 0.99})
+    for text in ("you idoit", "such scuum", "how ptahetic", "how pathhetically", "pathteic"):
+        assert lexicon.score(text) >= T.THRESHOLD, text
+    assert lexicon.score("patheu") == lexicon.score("sympathetic") == T.BASE
+    docs, labels = corpus()
+    bad = [i for i, (*_, toxic) in enumerate(labels) if toxic and zlib.crc32(str(i).encode()) % 4 != 2]
+    clean = [i for i, (*_, toxic) in enumerate(labels) if not toxic and zlib.crc32(str(i).encode()) % 4 != 2]
+    docs[bad[0]] = (bad[0], docs[bad[0]][1] + " zidoitz zzmoronz", None, None, None)
+    for i in clean[:2]:
+        docs[i] = (i, docs[i][1] + " zzmoronz", None, None, None)
+    learned = T.fit(documents(docs), frame(labels, "doc_id long, quality int, toxic int"))
+    assert learned.score("a zidoitz") >= T.THRESHOLD > learned.score("a zzmoronz")
+
+
 def test_empty(documents, frame):
     none = frame([], "doc_id long, quality int, toxic int")
     lexicon = T.fit(documents([(1, "a", None, None, None)]), none)

@@ -3,7 +3,9 @@
 Fit. From a bounded sample of labelled rows (MOST_TOXIC and MOST_CLEAN of them, those with the least hash of doc_id) the
 words and word beginnings that set toxic documents apart become the lexicon: a beginning where words with many endings
 share it, the word itself otherwise. A term must come in at least half as many surroundings as documents, so that copies of one text teach nothing.
-What lies within one edit of a term in the sample is weighed too; ordinary words that happen to be near stay harmless.
+What lies within one edit of a term in the sample is weighed too; ordinary words that happen to be near stay harmless. A
+misspelling that no clean row holds reaches the threshold alone, whatever its length; a beginning that has ordinary words
+near it is only matched exactly.
 
 Score. Every word of a text is looked up in the trie, exactly and by a Levenshtein automaton of the word that is
 intersected with the trie. A hit counts with its weight; in a window of WINDOW words around it, quotation marks or
@@ -85,50 +87,71 @@ class Automaton:
 
 
 class Lexicon:
-    """words and beginnings: term -> weight; variants: misspelling -> learned weight."""
+    """words and beginnings: term -> weight; variants: misspelling -> learned weight; loose: beginnings with ordinary words near them, which count exactly."""
 
-    def __init__(self, words: dict[str, float], beginnings: dict[str, float], variants: dict[str, float] | None = None):
+    def __init__(self, words: dict[str, float], beginnings: dict[str, float], variants: dict[str, float] | None = None, loose: set[str] | None = None):
         self.words, self.beginnings, self.variants = words, beginnings, variants or {}
         self.sizes = sorted({len(b) for b in beginnings})
+        self.terms, self.loose = beginnings | words, loose or set()
+        open_ended = [b for b in beginnings if len(b) >= FUZZY_FROM and b not in self.loose]
         self.trie: dict = {}
-        for w in words:
+        # "" ends a word, "*" a beginning, after which any letters may follow
+        for w, end in [*((w, "") for w in words), *((b, "*") for b in open_ended)]:
             node = self.trie
             for c in w:
                 node = node.setdefault(c, {})
-            node[""] = w
+            node[end] = w
         # a word within one edit shares its first or its last half with the term, or the halves' inner letters are swapped
         fuzzy = [w for w in words if len(w) >= FUZZY_FROM]
         self.heads = {w[: len(w) // 2] for w in fuzzy} | {w[: len(w) // 2 - 1] + w[len(w) // 2] for w in fuzzy}
         self.tails = {w[-(len(w) // 2) :] for w in fuzzy}
         self.cut = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
         self.span = (min(map(len, fuzzy)) - 1, max(map(len, fuzzy)) + 1) if fuzzy else (1, 0)
+        # the same for beginnings, whose last half ends at most one letter before or after their length
+        fuzzy = open_ended
+        self.first = {b[: len(b) // 2] for b in fuzzy} | {b[: len(b) // 2 - 1] + b[len(b) // 2] for b in fuzzy}
+        self.last = {b[-(len(b) // 2) :] for b in fuzzy}
+        self.starts = sorted({len(x) for x in self.first}), sorted({(len(b) + d, len(b) // 2) for b in fuzzy for d in (-1, 0, 1)})
         self.known: dict[str, float] = {}
 
     def near(self, word: str) -> str | None:
-        """The term within one edit of the word, found by walking trie and automaton together."""
-        if not self.span[0] <= len(word) <= self.span[1]:
-            return None
-        if not (any(word[:k] in self.heads for k in self.cut[0]) or any(word[-k:] in self.tails for k in self.cut[1])):
+        """The term within one edit of the word, or of a start of it for a beginning, found by walking trie and automaton together.
+
+        The last letter of a beginning must come: a word that only shares the letters before it is another word.
+        """
+        whole = self.span[0] <= len(word) <= self.span[1] and (any(word[:k] in self.heads for k in self.cut[0]) or any(word[-k:] in self.tails for k in self.cut[1]))
+        start = any(word[:k] in self.first for k in self.starts[0]) or any(word[e - k : e] in self.last for e, k in self.starts[1] if e <= len(word))
+        if not whole and not start:
             return None
         machine, found = Automaton(word), []
-        stack = [(self.trie, machine.start)]
+        stack = [(self.trie, machine.start, "")]
         while stack:
-            node, state = stack.pop()
+            node, state, path = stack.pop()
             if "" in node and len(node[""]) >= FUZZY_FROM and machine.accepts(state) is not None:
                 found.append(node[""])
+            if "*" in node and any(at > 0 and (word[at - 1] == path[-1] or word[at - 2 : at] == path[:-3:-1]) for at, _ in state):
+                found.append(node["*"])
             for c, child in node.items():
-                if c and (to := machine.step(state, c)):
-                    stack.append((child, to))
-        return min(found, key=lambda t: (-self.words[t], t), default=None)
+                if c and c != "*" and (to := machine.step(state, c)):
+                    stack.append((child, to, path + c))
+        return min(found, key=lambda t: (-self.terms[t], t), default=None)
+
+    def starts_like(self, word: str) -> float:
+        """The weight of the beginnings that the word has."""
+        return max((self.beginnings.get(word[:k], 0.0) for k in self.sizes if len(word) >= k), default=0.0)
+
+    def unseen(self, term: str) -> float:
+        """The weight of a misspelling that the sample doesn't hold: alone it reaches the threshold."""
+        return max(THRESHOLD, self.terms[term] * (0.6 if len(term) >= 8 else 0.45))
 
     def weight(self, word: str) -> float:
         got = self.known.get(word)
         if got is None:
-            got = self.words.get(word, 0.0)
+            got = self.words.get(word, 0.0) or self.starts_like(word)
             if not got:
-                got = max((self.beginnings.get(word[:k], 0.0) for k in self.sizes if len(word) >= k), default=0.0)
-            if not got and (term := self.near(word)):
-                got = self.variants.get(word, self.words[term] * (0.6 if len(term) >= 8 else 0.45 if len(term) >= 6 else 0.2))
+                got = self.variants.get(word)
+            if got is None:
+                got = self.unseen(term) if (term := self.near(word)) else 0.0
             if len(self.known) >= MOST_WORDS:
                 self.known.clear()
             self.known[word] = got
@@ -240,7 +263,7 @@ def _variant_counts(lexicon: Lexicon):
             for label, part in f.groupby("toxic"):
                 got: Counter[str] = Counter()
                 for t in part["text"]:
-                    got.update(w for w in set(tokens(t)) if w not in lexicon.words and lexicon.near(w))
+                    got.update(w for w in set(tokens(t)) if w not in lexicon.words and not lexicon.starts_like(w) and lexicon.near(w))
                 if got:
                     yield pd.DataFrame({"term": list(got), "toxic": label, "n": list(got.values())})
 
@@ -276,14 +299,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     varied = {r["term"] for r in places if r["n"] >= max(SURROUNDINGS, toxic[r["term"]] // 2)}
     terms = choose({t: x for t, x in toxic.items() if t in varied}, clean, n_toxic, n_clean, odds)
     lexicon = Lexicon({t[1:]: p for t, p in terms.items() if t[0] == "="}, {t: p for t, p in terms.items() if t[0] != "="})
-    if lexicon.words:
+    if lexicon.terms:
         seen: dict[str, dict[int, int]] = {}
         for r in _totals(rows.mapInPandas(_variant_counts(lexicon), "term string, toxic int, n long")):
             seen.setdefault(r["term"], {})[r["toxic"]] = r["n"]
+        # any letters may follow a beginning: it is loose if a word near it is likelier to come from a clean row; all
+        # beginnings' words together count as one more of each
+        kinds: dict[str, Counter[int]] = {b: Counter() for b in lexicon.beginnings}
+        for w, n in seen.items():
+            if (t := lexicon.near(w)) in kinds:
+                kinds[t].update(n.keys())
+        every, loose = sum(kinds.values(), Counter()), set()
+        if size := every.total():
+            loose = {t for t, k in kinds.items() if odds * (k[1] + every[1] / size) / n_toxic <= (k[0] + every[0] / size) / n_clean}
         for w, n in seen.items():
             bad, good = n.get(1, 0) / n_toxic, n.get(0, 0) / n_clean
-            lexicon.variants[w] = 0.0 if n.get(0, 0) > 1 or not n.get(1) else min(0.9, bad / (bad + good + 0.5 / n_clean)) if n[1] >= LEAST else 0.2
-        lexicon.known.clear()
+            if n.get(0, 0) > 1 or not n.get(1):
+                lexicon.variants[w] = 0.0
+            elif n[1] >= LEAST:
+                learned = min(0.9, bad / (bad + good + 0.5 / n_clean))
+                lexicon.variants[w] = learned if good else max(learned, lexicon.unseen(lexicon.near(w)))
+            elif good:
+                lexicon.variants[w] = 0.2
+        return Lexicon(lexicon.words, lexicon.beginnings, lexicon.variants, loose)
     return lexicon
 
 
