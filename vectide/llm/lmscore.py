@@ -1,149 +1,243 @@
-"""Document scores by cross-entropy difference (Moore and Lewis, 2010), by characters; `op10_lmscore` uses words (wordlm.py).
+"""Document scores by cross-entropy difference (Moore and Lewis, 2010) of two word bigram models counted in Spark.
 
-Here is the model for where one must fit in memory whatever the corpus: it knows SYMBOLS - 1 characters and no words. Two character n-gram models of the same order, smoothing and vocabulary are counted: the target model on the documents
-named as good, the background model on all documents. A document's score is the mean over its characters of the
-background loss minus the target loss, in nats: above zero it looks more like the target than like the corpus.
+Target and background share one vocabulary: all words of the corpus and an end mark, none left out. A document's score is
+the mean over its words and its end mark of the background loss minus the target loss, in nats: above zero it looks more
+like the target than like the corpus. A word is a run of letters and digits in lower case, or a run of other marks; in
+scripts written without spaces each character is a word.
 
-Vocabulary: the SYMBOLS - 1 most frequent characters of the corpus (letters in lower case, digits as 0), one symbol for
-all others. With ORDER symbols a gram is a number below SYMBOLS ** ORDER; this bounds, at any corpus size, both the count
-table and the dense table of loss differences that is broadcast (21 MB). All counts cover all documents and whole texts:
-every task emits the grams it has seen, and Spark adds them up.
+1. Texts become blocks of whole documents, about BLOCK words each, as numbers into the block's own list of words.
+2. A block sends each distinct bigram and word once, under 64 bits of hash, with its counts in all and in target
+   documents. The hashes are dealt out by their first bits over as many groups as the corpus needs.
+3. A group adds the counts up and answers each block with the corpus' counts, in the order in which it was asked.
+4. The block computes its documents' scores from the answers.
 
-Smoothing is Witten-Bell: each order is interpolated with the one below, in the end with the uniform distribution.
+Everything grows with the corpus and stays in Spark; what comes to the driver is one row of totals. A common word or bigram
+is one number a block, so no key is hot. The numbers travel as compressed planes of bytes.
 
-Edge cases: null and empty texts score 0 with 0 tokens; null or unmatched ids in the target list are ignored, repeated
-ones count once; with an empty target list the target model is uniform; repeated documents count each time and keep a row
-each; an empty table gives an empty result; other columns are ignored.
+Smoothing: a bigram is interpolated with its word as if PRIOR more words had followed its first word (Dirichlet), a word
+with the uniform distribution over the vocabulary as Witten and Bell do.
+
+Edge cases: null and empty texts, and those without a word, score 0 with 0 tokens; null or unmatched ids in the target
+list are ignored, repeated ones count once; with an empty target list the target model is uniform; repeated documents
+count each time and keep a row each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectide.llm.scratch import Scratch, prepare, table
-from vectide.llm.wordlm import score_corpus
+from vectide.llm.scratch import Scratch, let_go, prepare, table
+
+#: Scripts written without spaces: Thai and Lao, Burmese, Khmer, Kana, Han.
+ALONE = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{ALONE}]|[^\W_{ALONE}]+|[^\w\s{ALONE}]+|_+")
+PRIOR = 10.0
+#: Words of a block, and distinct grams that a group adds up, both about.
+BLOCK, GROUP = 4_000_000, 4_000_000
+#: Names of what stands before the first word and after the last; words have the names that XXH64 gives them.
+START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+BLOCKS = "block long, part int, ids array<long>, sizes array<int>, codes binary, names binary"
+ASKED = "p long, block long, grams binary, n binary, t binary"
+ANSWERS = "p long, block long, n binary, t binary, kinds long, target_kinds long, tokens long, target_tokens long"
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of their bytes, lowest first, no more planes than they need."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
 
-SYMBOLS, ORDER = 48, 4
-CELLS = SYMBOLS**ORDER
-#: Symbol of characters outside the vocabulary, which also stands before a text.
-OTHER = 0
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def code_points(text: str) -> np.ndarray:
-    x = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    return np.where((x >= 48) & (x <= 57), np.uint32(48), x)
+def words(text: str | None) -> list[str]:
+    return WORD.findall(text.lower()) if text else []
 
 
-def grams(texts: list[str], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The gram that ends at each character of the texts in a row, and the texts' lengths."""
-    pad = np.zeros(ORDER - 1, np.int32)
-    coded = [symbol[code_points(t)] for t in texts]
-    flat = np.concatenate([x for c in coded for x in (pad, c)] or [pad])
-    out = flat[ORDER - 1 :].astype(np.int32)
-    for k in range(1, ORDER):
-        out += flat[ORDER - 1 - k : len(flat) - k] * np.int32(SYMBOLS**k)
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-    ends = np.cumsum(sizes + ORDER - 1)
-    keep = np.ones(len(out), bool)  # not the grams that end in the padding before the second text and later ones
-    for e in ends[:-1]:
-        keep[e - ORDER + 1 : e] = False
-    return out[keep] if len(texts) else out[:0], sizes
+class Numbers(dict):
+    """The number of each word, in order of appearance."""
 
+    def __missing__(self, word: str) -> int:
+        self[word] = got = len(self)
+        return got
+
+
+def _blocks(stream):
+    """A row for each batch of documents, and at the end of a block one with the names of its words."""
+    let_go()
+    block, part, size, numbers = TaskContext.get().partitionId() << 32, 0, 0, Numbers()
+
+    def row(ids, sizes, codes, names):
+        columns = [pa.array([block]), pa.array([part], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([codes], pa.binary()), pa.array([names], pa.binary())]
+        return pa.record_batch(columns, ["block", "part", "ids", "sizes", "codes", "names"])
+
+    def named():
+        digest = xxhash.xxh64_intdigest
+        return row(None, None, None, np.fromiter((digest(w.encode("utf-8", "replace")) for w in numbers), np.uint64, len(numbers)).tobytes())
 
-def _character_counts(stream):
     for b in stream:
-        x = code_points("".join(t for t in b.column("text").to_pylist() if t))
-        seen, n = np.unique(x, return_counts=True)
-        yield pa.record_batch([pa.array(seen.astype(np.int64)), pa.array(n.astype(np.int64))], ["c", "n"])
-
-
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """symbol[code point] of the corpus' most frequent characters; ties go to the smaller code point."""
-    counts = docs.select("text").mapInArrow(_character_counts, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "c").limit(SYMBOLS - 1).collect()
-    symbol = np.full(0x110000, OTHER, np.int32)
-    for k, r in enumerate(top):
-        symbol[r["c"]] = k + 1
-    return symbol
-
-
-def _gram_counts(shared):
-    def batches(stream):
-        """One row for each gram of a task, with how often it comes."""
-        codes, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for b in stream:
-            g, _ = grams([t for t in b.column("text").to_pylist() if t], shared.value)
-            if len(g):
-                code, n = np.unique(g, return_counts=True)
-                codes, at = np.unique(np.concatenate((codes, code)), return_inverse=True)
-                counts = np.bincount(at, np.concatenate((counts, n)), len(codes))
-        if len(codes):
-            yield pa.record_batch([pa.array(codes.astype(np.int32)), pa.array(counts.astype(np.int64))], ["gram", "n"])
-
-    return batches
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """-log P(last symbol | those before) for every gram, from the counts of all grams; Witten-Bell."""
-    p = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    for k in range(1, ORDER + 1):
-        c = counts.reshape(-1, SYMBOLS**k).sum(axis=0).reshape(-1, SYMBOLS)
-        total, kinds = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-        lower = p.reshape(1, SYMBOLS) if k == 1 else np.tile(p.reshape(-1, SYMBOLS), (SYMBOLS, 1))
-        weight = total + kinds
-        p = np.where(weight > 0, (c + kinds * lower) / np.maximum(weight, 1), lower).reshape(-1)
-    return -np.log(p)
-
-
-class Model:
-    """The shared vocabulary and, for each gram, the background's loss minus the target's."""
-
-    def __init__(self, symbol: np.ndarray, background: np.ndarray, target: np.ndarray):
-        self.symbol = symbol
-        self.gain = (losses(background) - losses(target)).astype(np.float32)
-
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        g, sizes = grams([t or "" for t in texts], self.symbol)
-        sums = np.concatenate((np.zeros(1), np.cumsum(self.gain[g], dtype=np.float64)))
-        ends = np.cumsum(sizes)
-        return np.where(sizes > 0, (sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1), 0.0), sizes
-
-
-def fit(docs: DataFrame, good: DataFrame) -> Model:
-    """The model of docs(doc_id, text) with the target documents good(doc_id)."""
+        if not b.num_rows:
+            continue
+        sizes, codes = [], []
+        for t in b.column("text"):
+            found = words(t.as_py())
+            sizes.append(len(found))
+            codes.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+        yield row(b.column("doc_id").to_pylist(), sizes, pack(np.concatenate(codes)), None)
+        part, size = part + 1, size + sum(sizes)
+        if size >= BLOCK:
+            yield named()
+            block, part, size, numbers = block + 1, 0, 0, Numbers()
+    if part:
+        yield named()
+
+
+class Block:
+    """The documents of a block as bigrams, from its rows."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.select(["part", "ids", "sizes", "codes", "names"]).to_pylist()
+        parts = sorted((r for r in rows if r["codes"] is not None), key=lambda r: r["part"])
+        name = next(r["names"] for r in rows if r["names"] is not None)
+        #: Numbers count - 2 and count - 1 are what stands before the first word and the end mark.
+        self.names = np.concatenate((np.frombuffer(name, np.uint64), [START, END]))
+        self.count = len(self.names)
+        self.starts = np.cumsum([0, *(len(r["ids"]) for r in parts)])
+        self.ids = [i for r in parts for i in r["ids"]]
+        self.sizes = np.concatenate([np.array(r["sizes"], np.int64) for r in parts])
+        self.number = {r["part"]: k for k, r in enumerate(parts)}
+        flat = np.concatenate([unpack(r["codes"]) for r in parts]).astype(np.int64)
+        self.has = np.flatnonzero(self.sizes)
+        full = self.sizes[self.has]
+        ends = np.cumsum(full + 2)
+        line = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        inner = np.ones(len(line), bool)
+        inner[ends - 1] = inner[ends - full - 2] = False
+        line[ends - full - 2], line[ends - 1], line[inner] = self.count - 2, self.count - 1, flat
+        #: Every document's pairs: its size and one.
+        first = np.ones(max(len(line) - 1, 0), bool)
+        first[ends[:-1] - 1] = False
+        pairs = (line[:-1] * self.count + line[1:])[first]
+        self.ends = np.cumsum(full + 1)
+        self.pairs, self.place = np.unique(pairs, return_inverse=True)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the distinct bigrams, then of the words, in order; the lowest bit tells the words that can be predicted."""
+        v, w = np.divmod(self.pairs, self.count)
+        with np.errstate(over="ignore"):
+            both = _mix(_mix(self.names)[v] + self.names[w])
+            one = _mix(self.names ^ START)
+        both, one = both & ~np.uint64(1), one | np.uint64(1)
+        one[self.count - 2] &= ~np.uint64(1)
+        g = np.concatenate((both, one))
+        order = np.argsort(g)
+        return g[order], order
+
+    def counts(self, documents: np.ndarray) -> np.ndarray:
+        """How often each of grams(), before they are ordered, comes in the documents that are true."""
+        on = np.repeat(documents[self.has], self.sizes[self.has] + 1)
+        both = np.bincount(self.place[on], minlength=len(self.pairs))
+        second = np.bincount(self.pairs % self.count, both, self.count).astype(np.int64)
+        second[self.count - 2] = np.count_nonzero(documents[self.has])
+        return np.concatenate((both, second))
+
+    def scores(self, n: np.ndarray, t: np.ndarray, kinds: int, target_kinds: int, tokens: int, target_tokens: int) -> np.ndarray:
+        """Scores of the documents from the corpus' counts of grams(), before they are ordered."""
+        v, w = np.divmod(self.pairs, self.count)
+        size = len(self.pairs)
+        p = (n[size:] + 1.0) / (tokens + kinds)
+        q = (t[size:] + target_kinds / kinds) / (target_tokens + target_kinds) if target_kinds else np.full(self.count, 1.0 / max(kinds, 1))
+        gain = np.log((t[:size] + PRIOR * q[w]) / (t[size:][v] + PRIOR)) - np.log((n[:size] + PRIOR * p[w]) / (n[size:][v] + PRIOR))
+        out = np.zeros(len(self.sizes))
+        if len(self.has):
+            out[self.has] = np.add.reduceat(gain[self.place], np.concatenate(([0], self.ends[:-1]))) / (self.sizes[self.has] + 1)
+        return out
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _ask(bits: int):
+    def ask(rows: pa.Table) -> pa.Table:
+        """What a block sends: for each group, its grams' hashes as steps from one to the next, and its counts of them."""
+        block = Block(rows)
+        good = np.zeros(len(block.sizes), bool)
+        for r in rows.select(["part", "good"]).to_pylist():
+            if r["good"] is not None:
+                good[block.starts[block.number[r["part"]]] + np.array(r["good"], np.int64)] = True
+        g, order = block.grams()
+        n, t = block.counts(np.ones(len(good), bool))[order], block.counts(good)[order]
+        group = (g >> np.uint64(64 - bits)) if bits else np.zeros(len(g), np.uint64)
+        at = np.flatnonzero(np.diff(group, prepend=group[:1] + np.uint64(1)))
+        spans = list(zip(at.tolist(), [*at[1:].tolist(), len(g)], strict=True))
+        steps = [pack(np.diff(g[a:b], prepend=np.uint64(0))) for a, b in spans]
+        id_ = rows.column("block")[0].as_py()
+        columns = [pa.array([int(group[a]) for a, _ in spans], pa.int64()), pa.array([id_] * len(spans), pa.int64()), pa.array(steps, pa.binary()), pa.array([pack(n[a:b]) for a, b in spans], pa.binary()), pa.array([pack(t[a:b]) for a, b in spans], pa.binary())]
+        return pa.table(columns, names=["p", "block", "grams", "n", "t"])
+
+    return ask
+
+
+def _answer(rows: pa.Table) -> pa.Table:
+    """What a group answers to each block, and a row of totals without a block."""
+    grams = [np.cumsum(unpack(x.as_py()), dtype=np.uint64) for x in rows.column("grams")]
+    ends = np.cumsum([len(x) for x in grams]).tolist()
+    distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
+    total = {c: np.bincount(place, np.concatenate([unpack(x.as_py()) for x in rows.column(c)]).astype(np.float64), len(distinct)).astype(np.int64) for c in ("n", "t")}
+    word = (distinct & np.uint64(1)).astype(bool)
+    spans = list(zip([0, *ends[:-1]], ends, strict=True))
+    p, none = rows.column("p")[0].as_py(), [None] * len(spans)
+    back = {c: [pack(total[c][place[a:b]]) for a, b in spans] + [None] for c in total}
+    columns = [pa.array([p] * (len(spans) + 1), pa.int64()), pa.array([*rows.column("block").to_pylist(), None], pa.int64()), pa.array(back["n"], pa.binary()), pa.array(back["t"], pa.binary())]
+    sums = [np.count_nonzero(word), np.count_nonzero(total["t"][word]), total["n"][word].sum(), total["t"][word].sum()]
+    return pa.table([*columns, *(pa.array([*none, int(s)], pa.int64()) for s in sums)], names=[c.split()[0] for c in ANSWERS.split(", ")])
+
+
+def _score(totals: list[int]):
+    def score(rows: pa.Table) -> pa.Table:
+        block = Block(rows)
+        _, order = block.grams()
+        told = sorted((r for r in rows.select(["p", "n", "t"]).to_pylist() if r["n"] is not None), key=lambda r: r["p"])
+        n, t = np.empty(len(order)), np.empty(len(order))
+        n[order], t[order] = (np.concatenate([unpack(r[c]) for r in told]) for c in ("n", "t"))
+        return pa.table([pa.array(block.ids, pa.int64()), pa.array(block.scores(n, t, *totals)), pa.array(block.sizes)], names=["doc_id", "score", "n_tokens"])
+
+    return score
+
+
+def score_corpus(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """(doc_id, score, n_tokens) for each row of docs(doc_id, text), with the target documents good(doc_id)."""
     spark = docs.sparkSession
     prepare(spark)
+    scratch = Scratch(spark, "lmscore")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    symbol = vocabulary(rows)
-    shared = spark.sparkContext.broadcast(symbol)
-    ids = good.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
-    # one plan at every size: the ids grow with the corpus, so they are merged, not broadcast; above 10 GB Spark puts a
-    # Bloom filter of the ids in front of the documents' shuffle, as a semi-join allows
-    wanted = rows.join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
-    count = lambda df: df.select("text").mapInArrow(_gram_counts(shared), "gram int, n long")
-    both = count(rows).select("gram", "n", F.lit(0).cast("long").alias("t")).union(count(wanted).select("gram", F.lit(0).cast("long"), "n"))
-    counts = both.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    # at most SYMBOLS ** ORDER rows, whatever the corpus
-    got = Scratch(spark, "lmscore").keep(counts, "grams").toPandas()
-    background, target = np.zeros(CELLS), np.zeros(CELLS)
-    background[got["gram"]], target[got["gram"]] = got["n"], got["t"]
-    return Model(symbol, background, target)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, n_tokens) for each row of docs(doc_id, text); map only."""
-    prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def batches(stream):
-        for b in stream:
-            s, n = shared.value.score(b.column("text").to_pylist())
-            yield pa.record_batch([b.column("doc_id"), pa.array(s), pa.array(n)], ["doc_id", "score", "n_tokens"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(batches, "doc_id long, score double, n_tokens long")
+    blocks = scratch.keep(rows.mapInArrow(_blocks, BLOCKS), "blocks")
+    size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    ids = good.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
+    each = blocks.select("block", "part", F.posexplode("ids").alias("i", "id")).where("id is not null")
+    marked = each.join(ids, "id", "left_semi").groupBy("block", "part").agg(F.collect_list("i").alias("good"))
+    told = blocks.unionByName(marked, allowMissingColumns=True)
+    asked = told.groupBy("block").applyInArrow(_ask((size // GROUP).bit_length()), ASKED)
+    answers = scratch.keep(asked.groupBy("p").applyInArrow(_answer, ANSWERS), "answers")
+    sums = answers.agg(*[F.sum(c) for c in ("kinds", "target_kinds", "tokens", "target_tokens")]).first()
+    both = blocks.unionByName(answers.where("block is not null").select("block", "p", "n", "t"), allowMissingColumns=True)
+    return both.groupBy("block").applyInArrow(_score([x or 0 for x in sums]), "doc_id long, score double, n_tokens long")
 
 
 def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
