@@ -31,7 +31,49 @@ def test_tiles_by_brute_force():
         b = rng.choices([b"a", b"b", b"c", b"d"], k=rng.randint(0, 40))
         least = min(3, len(a))
         want = slow_tiles(a, b, least)
-        assert sum(n for _, _, n in D.tiles(a, D.near_seeds(a, b, least), least)) == want == sum(n for _, _, n in D.tiles(a, b, least))
+        near, most = D.near_seeds(a, b, least)
+        assert most * len(a) + 1e-9 >= want
+        assert sum(n for _, _, n in D.tiles(a, near, least)) == want == sum(n for _, _, n in D.tiles(a, b, least))
+
+
+def by_id(docs, found):
+    k, m = D.text_key(docs["text"])
+    return {r["doc_id"]: r["coverage"] for r in docs.join(found, (k == found["k"]) & (m == found["l"])).select("doc_id", "coverage").collect()}
+
+
+def test_each_row_is_decided_by_its_own_text(documents, frame):
+    """Rows without an id and rows that repeat one: only those that hold the item go."""
+    item = "quite unlike all other words here stand twelve more so that tiles match"
+    rows = [(None, f"x {item} y"), (None, "clean words of a row without an id stand here"), (7, item), (7, "another clean text under the same id as one above"), (8, item), (None, None)]
+    docs, bench = documents([(i, t, None, None, None) for i, t in rows]), frame([(1, item), (None, item), (1, item)], "item_id long, text string")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in D.keep_clean(docs, bench).where("text is not null").collect()) == sorted([("None", rows[1][1]), ("7", rows[3][1])])
+    assert D.keep_clean(docs, bench).count() == 3
+    assert {r["n_items"] for r in D.contaminated(docs, bench).collect()} == {2}
+
+
+def test_op1_rows(spark, documents, frame, tmp_path):
+    item = "quite unlike all other words here stand twelve more so that tiles match"
+    documents([(None, item, None, None, None), (None, "clean text without an id", None, None, None), (3, None, None, None, None)]).write.parquet(str(tmp_path / "documents.parquet"))
+    frame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted((str(r["doc_id"]), r["contaminated"], r["n_items"]) for r in D.op1_decontam(spark, str(tmp_path)).collect()) == [("3", False, 0), ("None", False, 0), ("None", True, 1)]
+
+
+def test_a_phrase_of_all_items_is_not_joined_on(documents, frame):
+    """Every item starts with one phrase: what holds the phrase alone is clean, what holds half an item is not."""
+    rng = random.Random(8)
+    phrase = "answer the following question in one word please"
+    items = [(i, phrase + " " + " ".join(rng.choices([f"v{k}" for k in range(900)], k=40))) for i in range(30)]
+    rows = [(i, f"text {phrase} and more {i}") for i in range(40)] + [(100 + i, "y " + " ".join(t.split()[20:]) + f" z{i}") for i, t in items]
+    docs, bench = documents([(i, t, None, None, None) for i, t in rows]), frame(items, "item_id long, text string")
+    assert sorted(by_id(docs, D.contaminated(docs, bench))) == [100 + i for i, _ in items]
+
+
+def test_hashes_that_meet_without_words_end(monkeypatch):
+    """All hashes alike: the words decide, and tiling comes to an end."""
+    real = D._window
+    monkeypatch.setattr(D, "_window", lambda h, free, size: (real(h, free, size)[0], real(h, free, size)[1] * 0))
+    a, b = [b"a", b"b", b"c", b"d", b"e", b"f"], [b"a", b"b", b"c", b"x", b"d", b"e", b"f"]
+    assert sorted(D.tiles(a, b, 3)) == [(0, 0, 3), (3, 4, 3)]
 
 
 def test_documents_by_brute_force(documents, frame, odd):
@@ -58,7 +100,7 @@ def test_documents_by_brute_force(documents, frame, odd):
             c = slow_tiles(w, [x for x in D.words(t)][:2000], min(5, len(w))) / len(w) if w else 0
             if c >= D.THRESHOLD:
                 want[i] = max(want.get(i, 0), c)
-    got = {r["doc_id"]: r["coverage"] for r in D.contaminated(docs, bench).collect()}
+    got = by_id(docs, D.contaminated(docs, bench))
     assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
     clean = D.keep_clean(docs, bench)
     assert clean.count() == sum(i not in want for i, _ in rows) and clean.columns == docs.columns
@@ -73,5 +115,5 @@ def test_empty(documents, frame):
 def test_hash_of_a_word_does_not_depend_on_its_place():
     import numpy as np
 
-    _, h = D.word_hashes(np.frombuffer("Über, x UBER-über x".encode(), np.uint8))
+    _, _, h = D.word_hashes(np.frombuffer("Über, x UBER-über x".encode(), np.uint8))
     assert h[1] == h[4] and len(set(h.tolist())) == 4 - 0 - (h[0] == h[3])
