@@ -40,7 +40,7 @@ ALONE = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
 WORD = re.compile(rf"[{ALONE}]|[^\W_{ALONE}]+|[^\w\s{ALONE}]+|_+")
 PRIOR = 10.0
 #: Words of a block, and distinct grams that a group adds up, both about.
-BLOCK, GROUP = 4_000_000, 4_000_000
+BLOCK, GROUP = 2_500_000, 2_000_000
 #: Names of what stands before the first word and after the last; words have the names that XXH64 gives them.
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -130,9 +130,11 @@ class Block:
         #: Every document's pairs: its size and one.
         first = np.ones(max(len(line) - 1, 0), bool)
         first[ends[:-1] - 1] = False
-        pairs = (line[:-1] * self.count + line[1:])[first]
+        line = (line[:-1] * self.count + line[1:])[first]
+        del inner, first, flat
         self.ends = np.cumsum(full + 1)
-        self.pairs, self.place = np.unique(pairs, return_inverse=True)
+        self.pairs, place = np.unique(line, return_inverse=True)
+        self.place = place.astype(np.int32)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the distinct bigrams, then of the words, in order; the lowest bit tells the words that can be predicted."""
@@ -199,6 +201,7 @@ def _answer(rows: pa.Table) -> pa.Table:
     grams = [np.cumsum(unpack(x.as_py()), dtype=np.uint64) for x in rows.column("grams")]
     ends = np.cumsum([len(x) for x in grams]).tolist()
     distinct, place = np.unique(np.concatenate(grams), return_inverse=True)
+    del grams
     total = {c: np.bincount(place, np.concatenate([unpack(x.as_py()) for x in rows.column(c)]).astype(np.float64), len(distinct)).astype(np.int64) for c in ("n", "t")}
     word = (distinct & np.uint64(1)).astype(bool)
     spans = list(zip([0, *ends[:-1]], ends, strict=True))
