@@ -54,9 +54,41 @@ def test_redaction(documents, odd):
     assert all(slow(r["text"]) == "" for r in out.where("doc_id >= 100").collect())
 
 
-def test_a_column_of_its_own_name(documents):
-    docs = documents([(1, "me@x.co", None, None, None)]).withColumn("cut", F.lit("mine"))
-    assert [(r["text"], r["cut"]) for r in P.redact(docs).collect()] == [("<EMAIL>", "mine")]
+def slow_redaction(text, spans):
+    """Every character of a span goes; where a run of overlapping spans starts, its first one's mask stands."""
+    out, reached = "", 0
+    for kind, a, b in spans:
+        if a >= reached:
+            out += text[reached:a] + f"<{kind.upper()}>"
+        reached = max(reached, b)
+    return out + text[reached:]
+
+
+def test_redaction_by_brute_force(documents, odd):
+    """Spans come from the text as it was: what one kind covers in part doesn't hide the rest of another."""
+    texts = ["+33.1.23.45.67.89 is a phone that holds an ip", "1.2.3.4.5.6.7.8@x.co 4.3.2.1", "é+4111111111111111🙂", "x@1.2.3.4 +1 222 333 4444.1.1.1 z", *(t for t in TEXTS if len(t) < 500)]
+    docs = documents([(100 + i, t, None, None, None) for i, t in enumerate(texts)] + odd)
+    spans = {r["doc_id"]: r["a"] for r in P.find(docs).where("doc_id >= 100").select("doc_id", P.joined(F.col("spans")).alias("a")).collect()}
+    got = {r["doc_id"]: r["text"] for r in P.redact(docs).where("doc_id >= 100").collect()}
+    for i, t in enumerate(texts):
+        own = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans[100 + i].split(",") if x)]
+        assert got[100 + i] == slow_redaction(t, own)
+    assert got[100] == "<PHONE> is a phone that holds an ip"
+    assert P.redact(docs).where("doc_id = 1").first()["text"] is None
+
+
+def test_many_matches_in_a_text(documents):
+    """Over several runs of sums; the work doesn't grow with the square of the matches."""
+    n = 30_000
+    docs = documents([(1, "é me@x.co, 1.2.3.4 " * n, None, None, None)])
+    spans = P.find(docs).first()["spans"]
+    assert [(s["start"], s["end"]) for s in spans] == [x for i in range(n) for x in ((i * 19 + 2, i * 19 + 9), (i * 19 + 11, i * 19 + 18))]
+    assert P.redact(docs).first()["text"] == "é <EMAIL>, <IP> " * n
+
+
+def test_columns_of_its_own_names(documents):
+    docs = documents([(1, "me@x.co", None, None, None)]).withColumn("cut_email", F.lit("mine")).withColumn("OWN_spans", F.lit("too"))
+    assert [(r["text"], r["cut_email"], r["OWN_spans"]) for r in P.redact(docs).collect()] == [("<EMAIL>", "mine", "too")]
 
 
 def test_empty(documents):

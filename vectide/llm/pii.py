@@ -5,11 +5,12 @@ numbers for the rest), and words nearby raise or lower a span's score. Spans of
 score; those of the added kinds (iban, ssn) need MINIMUM.
 
 Positions come from cutting the text at the matches: the lengths of the pieces and matches before a match add up to its
-start. The patterns propose what plain leftmost, non-overlapping search proposes, but with possessive repeats and a guard
+start. Sums run on by RUN values at a time, so the work grows with a text's matches and not with their square. The patterns propose what plain leftmost, non-overlapping search proposes, but with possessive repeats and a guard
 against starting inside a run that already failed, so long runs of digits or letters cost linear time and no stack.
 
-Edge cases: null text counts as empty; repeated rows keep a row each; null doc_ids are kept; an empty table gives an empty
-result; other columns are ignored by `find` and kept by `redact`. Nothing is shuffled.
+Edge cases: null text counts as empty, and `redact` leaves it null; repeated rows keep a row each; null doc_ids are kept; an
+empty table gives an empty result; other columns are ignored by `find` and kept by `redact`, whatever their names. Nothing
+is shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vectide.llm.scratch import table
 
-MINIMUM, NEAR = 0.6, 40
+MINIMUM, NEAR, RUN = 0.6, 40, 256
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
@@ -69,34 +70,63 @@ def _holds(kind: str, cut: Column, m: Column, i: Column) -> Column:
     return valid if kind in BASE else valid & (_score(kind, F.get(cut["p"], i), F.get(cut["p"], i + 1)) >= MINIMUM)
 
 
-def _spans(kind: str, cut: Column, starts: Column) -> Column:
+def _spans(kind: str, cut: Column, starts: Column, size) -> Column:
     """Confirmed spans (start, kind number, end, score) of one kind."""
     number = list(KINDS).index(kind)
 
     def span(m: Column, i: Column) -> Column:
         at = F.get(starts, i)
-        whole = F.struct(at.alias("start"), F.lit(number).alias("kind"), (at + F.char_length(m)).alias("end"), _score(kind, F.get(cut["p"], i), F.get(cut["p"], i + 1)).alias("score"))
+        whole = F.struct(at.alias("start"), F.lit(number).alias("kind"), (at + size(m)).alias("end"), _score(kind, F.get(cut["p"], i), F.get(cut["p"], i + 1)).alias("score"))
         return F.when(_holds(kind, cut, m, i), whole)
 
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,score:double>>")
     return F.coalesce(F.filter(F.transform(cut["m"], span), lambda s: s.isNotNull()), empty)
 
 
-def _starts(cut: Column) -> Column:
-    def more(known: Column, i: Column) -> Column:
-        last = F.when(i == 0, 0).otherwise(F.get(known, i - 1) + F.char_length(F.get(cut["m"], i - 1)))
-        return F.concat(known, F.array(last + F.char_length(F.get(cut["p"], i))))
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once, also where it is used inside a function of an array's elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    return F.when(cut.isNotNull(), F.aggregate(F.sequence(F.lit(0), F.size(cut["m"]) - 1), F.array().cast("array<int>"), more))
+
+def running(values: Column, op, zero: Column) -> Column:
+    """For each of one or more values, what `op` makes of zero and all values before it.
+
+    An array grows by being copied, so it grows to RUN values only; the runs are strung together in the end.
+    """
+
+    def part(v: Column, r: Column) -> Column:
+        return F.slice(v, r * RUN + 1, F.lit(RUN))
+
+    def more(known: Column, x: Column) -> Column:
+        return F.concat(known, F.array(op(F.element_at(known, -1), x)))
+
+    def whole(v: Column) -> Column:
+        runs = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int"))
+        before = F.aggregate(F.transform(runs, lambda r: F.aggregate(part(v, r), zero, op)), F.array(zero), more)
+        return _let(before, lambda b: F.flatten(F.transform(runs, lambda r: F.slice(F.aggregate(part(v, r), F.array(F.get(b, r)), more), F.lit(1), F.size(part(v, r))))))
+
+    return _let(values, whole)
+
+
+def _starts(cut: Column, size) -> Column:
+    """Where the matches start, in characters or bytes as `size` counts."""
+    steps = F.transform(cut["m"], lambda m, i: size(F.get(cut["p"], i)) + size(m))
+    sums = running(steps, lambda a, x: a + x, F.lit(0))
+    return F.when(cut.isNotNull(), F.transform(sums, lambda x, i: x + size(F.get(cut["p"], i))))
+
+
+def _found(docs: DataFrame, keep: list[str], size, own: str = "") -> DataFrame:
+    """The columns `keep` of docs(text) and `spans`, with its name after `own`: ordered by start, then kind; places as `size` counts."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    out = docs.select(*keep, *[_cut(text, k).alias(f"{own}cut_{k}") for k in KINDS])
+    out = out.select("*", *[_starts(F.col(f"{own}cut_{k}"), size).alias(f"{own}at_{k}") for k in KINDS])
+    every = F.concat(*[_spans(k, F.col(f"{own}cut_{k}"), F.col(f"{own}at_{k}"), size) for k in KINDS])
+    return out.select(*keep, F.array_sort(every).alias(f"{own}spans"))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) for each row of docs(doc_id, text): spans ordered by start, then kind (a number in KINDS)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[_cut(text, k).alias(f"cut_{k}") for k in KINDS])
-    out = out.select("*", *[_starts(F.col(f"cut_{k}")).alias(f"at_{k}") for k in KINDS])
-    every = F.concat(*[_spans(k, F.col(f"cut_{k}"), F.col(f"at_{k}")) for k in KINDS])
-    return out.select("doc_id", F.array_sort(every).alias("spans"))
+    return _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], F.char_length)
 
 
 def joined(spans: Column) -> Column:
@@ -104,24 +134,32 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def _masked(kind: str, cut: Column) -> Column:
-    mask = F.lit(f"<{kind.upper()}>")
-    filled = F.transform(cut["m"], lambda m, i: F.concat(F.get(cut["p"], i), F.when(_holds(kind, cut, m, i), mask).otherwise(m)))
-    return F.concat(F.array_join(filled, ""), F.element_at(cut["p"], -1))
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with a mask in place of each span (places in bytes). Of spans that overlap, the first one's mask stands for all."""
+    masks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+
+    def cut(raw: Column, start: Column, end: Column) -> Column:
+        return F.substring(raw, start + 1, end - start).cast("string")
+
+    def filled(raw: Column, reached: Column) -> Column:
+        pieces = F.transform(spans, lambda s, i: F.when(s["start"] >= F.get(reached, i), F.concat(cut(raw, F.get(reached, i), s["start"]), F.get(masks, s["kind"]))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), cut(raw, F.array_max(F.transform(spans, lambda s: s["end"])), F.octet_length(raw)))
+
+    reached = running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x), F.lit(0))
+    return _let(text.cast("binary"), lambda raw: _let(reached, lambda r: filled(raw, r)))
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with `<KIND>` in place of each confirmed span of its text, kind after kind; n_chars follows if there is one."""
-    own = "cut"
-    while own in map(str.lower, docs.columns):
+    """docs with `<KIND>` in place of each confirmed span that `find` finds in its text; n_chars follows if there is one."""
+    own = "own_"
+    while any(c.lower().startswith(own) for c in docs.columns):
         own += "_"
-    out = docs
-    for kind in KINDS:
-        out = out.withColumn(own, _cut(F.col("text"), kind))
-        out = out.withColumn("text", F.when(F.col(own).isNull(), F.col("text")).otherwise(_masked(kind, F.col(own)))).drop(own)
+    out = _found(docs, docs.columns, F.octet_length, own)
+    spans = F.col(f"{own}spans")
+    masked = F.when(F.size(spans) > 0, _masked(F.col("text").cast("string"), spans)).otherwise(F.col("text").cast("string"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length(masked).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn("text", masked).select(*docs.columns)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
