@@ -70,9 +70,14 @@ def test_long_runs_are_counted_in_pieces(monkeypatch):
 
 
 def test_keep_one(documents):
-    rows = [(5, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (9, "other words stand here now"), (None, "a b c d e"), (None, "lonely text of no id")]
-    kept = S.keep_one(documents([(i, t, None, None, None) for i, t in rows])).collect()
-    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(2, "a b c d e"), (9, rows[3][1]), (None, rows[4][1]), (None, rows[5][1])], key=str)
+    one = "a b c d e f g h"
+    rows = [(5, one), (2, one), (2, one), (9, "other words stand here now"), (None, one), (None, "lonely text of no id"), (None, "lonely text of no id"), (None, "LONELY text of no id"), (2, "a third text under a repeated id"), (None, None)]
+    docs = documents([(i, t, None, None, None) for i, t in rows])
+    kept = [(r["doc_id"], r["text"]) for r in S.keep_one(docs).collect()]
+    lonely = {(None, "lonely text of no id"), (None, "LONELY text of no id")}
+    assert len(lonely & set(kept)) == 1
+    assert sorted((x for x in kept if x not in lonely), key=str) == sorted([(2, one), (9, rows[3][1]), (2, rows[8][1]), (None, None)], key=str)
+    assert S.keep_one(docs).columns == docs.columns
 
 
 def test_empty(documents):

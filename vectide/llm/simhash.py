@@ -8,8 +8,8 @@ Documents with the same fingerprint are one node from the start, however many th
 
 Edge cases: null text counts as empty and has fingerprint zero, which links like any other; a document with fewer than
 three words has one shingle, the whole sequence; null doc_ids are kept and count last when a group's smallest id is
-taken (null only if all ids of the group are); repeated rows keep a row each; an empty table gives an empty result;
-other columns are ignored, whatever their names.
+taken (null only if all ids of the group are); repeated rows keep a row each (but `keep_one` keeps one); an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def _fingerprint_batches(batches):
     let_go()
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
-        ids, fps, runs, total = batch.column("doc_id"), [], [], 0
+        fps, runs, total = [], [], 0
 
         def flush():
             if runs:
@@ -75,14 +75,15 @@ def _fingerprint_batches(batches):
                 flush()
                 runs, total = [], 0
         flush()
-        yield pa.record_batch([ids, pa.array(np.concatenate(fps) if fps else np.zeros(0, np.int64), pa.int64())], ["doc_id", "fp"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("of"), pa.array(np.concatenate(fps) if fps else np.zeros(0, np.int64), pa.int64())], ["doc_id", "of", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row of docs(doc_id, text); map only."""
+    """(doc_id, of, fp) for each row of docs(doc_id, text), `of` being a hash of the text; map only."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), text.alias("text"))
+    return rows.mapInArrow(_fingerprint_batches, "doc_id long, of long, fp long")
 
 
 def ball_links(points: DataFrame) -> DataFrame:
@@ -95,16 +96,20 @@ def ball_links(points: DataFrame) -> DataFrame:
     return met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= RADIUS).select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs(doc_id, text): the smallest doc_id reachable over links."""
-    scratch = Scratch(docs.sparkSession, "simhash")
+def grouped(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, of, fp) of each row, and (fp, root, component_id) of each fingerprint: its group, and that one's smallest doc_id."""
     fps = scratch.keep(fingerprints(docs), "fps")
     points = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "points")
     roots = connected_components(ball_links(points.select("fp")), scratch)
     named = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = scratch.keep(named, "named")
     least = scratch.keep(named.groupBy("root").agg(F.min("low").alias("component_id")), "least")
-    groups = scratch.keep(named.join(least, "root").select("fp", "component_id"), "groups")
+    return fps, scratch.keep(named.join(least, "root").select("fp", "root", "component_id"), "groups")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs(doc_id, text): the smallest doc_id reachable over links."""
+    fps, groups = grouped(docs, Scratch(docs.sparkSession, "simhash"))
     return fps.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -115,16 +120,22 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each group the row with the smallest doc_id stays.
+    """docs without near-duplicates: of each group one row stays, that with the smallest doc_id.
 
-    Rows that repeat a doc_id and its text stay once. Rows without a doc_id can't be told apart by a decision on ids: they
-    all stay.
+    Rows are told apart by doc_id and text: of a group's rows with the smallest id (null if all are) the text with the
+    least hash stays, and of rows that repeat both, one.
     """
-    groups = Scratch(docs.sparkSession, "groups").keep(near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id"))
-    firsts = groups.where("_id = component_id").groupBy("_id").agg(F.count("*").alias("_n"))
-    match = lambda table, how: lambda df: df.join(table, df["doc_id"] == table["_id"], how)
-    kept = docs.transform(match(firsts.select("_id"), "left_semi")).union(docs.where(docs["doc_id"].isNull()))
-    repeated = firsts.where("_n > 1").select("_id")
+    scratch = Scratch(docs.sparkSession, "groups")
+    fps, groups = grouped(docs, scratch)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "of")).alias("least")
+    first = scratch.keep(fps.join(groups, "fp").groupBy("root").agg(least).select(F.col("least.doc_id").alias("_id"), F.col("least.of").alias("_of")), "first")
+    own = fps.groupBy("doc_id", "of").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = scratch.keep(first.join(own, first["_id"].eqNullSafe(own["doc_id"]) & (first["_of"] == own["of"]), "left_semi"), "repeated")
+
+    def match(table: DataFrame, how: str):
+        return lambda df: df.join(table, df["doc_id"].cast("long").eqNullSafe(table["_id"]) & (F.xxhash64(df["text"].cast("string")) == table["_of"]), how)
+
+    kept = docs.transform(match(first, "left_semi"))
     if repeated.isEmpty():
         return kept
     return kept.transform(match(repeated, "left_anti")).union(kept.transform(match(repeated, "left_semi")).dropDuplicates(["doc_id", "text"]))
