@@ -1,6 +1,7 @@
 """Tables that cut lineage: written to the folder that driver and executors share, and read again.
 
-The folder is the session's ``spark.checkpoint.dir``; only where it is unset (tests, notebooks) one is made.
+The folder is the session's ``spark.checkpoint.dir``; only where it is unset (tests, notebooks) one is made, and only for a
+local master: executors on other machines would not see it.
 A written table survives the loss of an executor, which a local checkpoint does not.
 """
 
@@ -43,13 +44,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or else the checkpoint folder of the context, or else a new one."""
+    """The folder in spark.checkpoint.dir, or else the checkpoint folder of the context, or else a new one on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     at = context._jsc.sc().getCheckpointDir()
     if not at.isDefined():
+        if not context.master.split("[")[0] == "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {context.master})")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="vectide-"))
         at = context._jsc.sc().getCheckpointDir()
     return at.get().rstrip("/")
@@ -78,6 +81,10 @@ class Scratch:
         out._vectide_path = path
         return out
 
+    def together(self, tables: list[DataFrame]) -> DataFrame:
+        """Kept tables of one schema as one."""
+        return self.spark.read.schema(tables[0].schema).parquet(*[t._vectide_path for t in tables])
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
         for t in tables:
