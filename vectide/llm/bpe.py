@@ -8,8 +8,8 @@ read. Tokens shared by all live boundaries can't change any more and are emitted
 is the live boundaries, each with the last token before it and its trie node. States and moves are made when first
 needed and kept, up to MOST_STATES; then the machine forgets them and goes on.
 
-Decoding concatenates the tokens' bytes; the text comes from an incremental UTF-8 machine that holds back at most the
-three bytes of an unfinished character.
+Decoding concatenates the tokens' bytes; the text comes from an incremental UTF-8 machine, whose state is at most the three
+bytes of an unfinished character.
 
 Edge cases: null text counts as empty, and empty text has no tokens; lone surrogates can't occur in Spark strings;
 repeated rows keep a row each; an empty table gives an empty result; other columns are ignored by `encode_table`.
@@ -18,8 +18,10 @@ repeated rows keep a row each; an empty table gives an empty result; other colum
 from __future__ import annotations
 
 import base64
+import codecs
 import re
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -188,30 +190,19 @@ class Transducer:
 
 
 class Utf8Stream:
-    """Incremental UTF-8: push bytes, get the text that is complete so far; `close` gives what is left, replaced."""
+    """Incremental UTF-8: push bytes, get the text that is complete so far; `close` gives what is left, replaced.
+
+    The machine is the library's incremental decoder: its state is the bytes of a character that has begun, three at most.
+    """
 
     def __init__(self):
-        self.held = b""
-
-    @staticmethod
-    def _unfinished(data: bytes) -> int:
-        """Bytes at the end that begin a character which isn't complete."""
-        for back in range(1, min(3, len(data)) + 1):
-            lead = data[-back]
-            if lead & 0xC0 != 0x80:
-                need = 4 if lead >= 0xF0 else 3 if lead >= 0xE0 else 2 if lead >= 0xC0 else 1
-                return back if need > back and lead <= 0xF4 else 0
-        return 0
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def push(self, data: bytes) -> str:
-        data = self.held + data
-        cut = len(data) - self._unfinished(data)
-        self.held = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        return self.machine.decode(data)
 
     def close(self) -> str:
-        out, self.held = self.held.decode("utf-8", "replace"), b""
-        return out
+        return self.machine.decode(b"", True)
 
 
 def narrow_pattern() -> re.Pattern:
@@ -227,9 +218,9 @@ class Codec:
         self.machine = Transducer(ranks)
         self.split = regex.compile(pattern)
         self.narrow = narrow_pattern() if pattern == PATTERN else None
-        #: Encoded matches: those of late, and those of before, from which the ones that recur are taken over.
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.before: dict[str, tuple[int, ...]] = {}
+        #: Encoded matches (four bytes an id): those of late, and those of before, from which the ones that recur are taken over.
+        self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def matches(self, text: str) -> list[str]:
         if self.narrow is not None:
@@ -240,10 +231,10 @@ class Codec:
                 pass
         return self.split.findall(text)
 
-    def _word(self, w: str) -> tuple[int, ...]:
-        got = self.before.get(w)
+    def _word(self, w: str) -> bytes:
+        got = self.words.get(w) or self.before.get(w)
         if got is None:
-            got = tuple(self.machine.encode(w.encode("utf-8")))
+            got = np.array(self.machine.encode(w.encode("utf-8")), "<i4").tobytes()
             if len(w) > 64:
                 return got
         if len(self.words) >= MOST_WORDS:
@@ -251,20 +242,22 @@ class Codec:
         self.words[w] = got
         return got
 
+    def encode_packed(self, text: str) -> bytes:
+        """The ids, four bytes each."""
+        found = self.matches(text)
+        parts = list(map(self.words.get, found))
+        if None in parts:
+            word = self._word
+            parts = [word(w) if p is None else p for p, w in zip(parts, found, strict=True)]
+        return b"".join(parts)
+
     def encode(self, text: str) -> list[int]:
-        out, get, word = [], self.words.get, self._word
-        for w in self.matches(text):
-            got = get(w)
-            if got is None:
-                got = word(w)
-                get = self.words.get
-            out += got
-        return out
+        return np.frombuffer(self.encode_packed(text), "<i4").tolist()
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.machine.bytes_of.__getitem__, ids))
 
-    def decode_stream(self, ids, at_once: int = 1024):
+    def decode_stream(self, ids, at_once: int = 8192):
         """Pieces of text, each as soon as its characters are complete."""
         stream = Utf8Stream()
         for i in range(0, len(ids), at_once):
@@ -291,9 +284,12 @@ def encode_table(docs: DataFrame, path: str | None = None) -> DataFrame:
     def batches(stream):
         c = codec(path)
         for b in stream:
-            ids = [c.encode(t) if t else [] for t in b.column("text").to_pylist()]
-            back = ["".join(c.decode_stream(x)) for x in ids]
-            yield pa.record_batch([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(back, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
+            packed = [c.encode_packed(t) if t else b"" for t in b.column("text").to_pylist()]
+            back = ["".join(c.decode_stream(np.frombuffer(x, "<i4").tolist())) for x in packed]
+            sizes = np.fromiter((len(x) // 4 for x in packed), np.int64, len(packed))
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(packed), "<i4"))
+            yield pa.record_batch([b.column("doc_id"), ids, pa.array(sizes), pa.array(back, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(batches, "doc_id long, ids array<int>, n_tokens long, decoded string")
