@@ -41,8 +41,27 @@ def test_stages_take_effect(spark, folder):
     assert sorted(r["doc_id"] for r in P.run(spark, path).collect()) == kept["bpe"]
 
 
+def run_over(spark, documents, frame, path, rows, items):
+    documents(rows).write.parquet(f"{path}/documents.parquet")
+    frame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return P.run(spark, str(path)).collect()
+
+
+def test_unlabelled_rows_without_ids_and_repeated_ids(spark, documents, frame, tmp_path):
+    """No labels, an empty benchmark, null and repeated ids, a very long text: clean rows stay, each decided by itself."""
+    rng = random.Random(2)
+    text = lambda n=30: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    rows = [(None, text(), None, None, None), (None, text(), None, None, None), (7, text(), None, None, None), (7, text(), None, None, None), (8, text(30_000), None, None, None), (9, None, None, None, None), (10, "", None, None, None)]
+    got = run_over(spark, documents, frame, tmp_path, rows, [])
+    assert sorted(r["decoded"] for r in got) == sorted(r[1] for r in rows[:5])
+
+
+def test_empty_documents(spark, documents, frame, tmp_path):
+    assert run_over(spark, documents, frame, tmp_path, [], [(1, "some words of an item here")]) == []
+
+
 def test_threshold_keeps_documents_that_share_a_phrase():
-    assert decontam.coverage("one two three four five six seven eight nine ten eleven twelve", "x one two three four five y")[0] < decontam.THRESHOLD
+    assert decontam.coverage("one two three four five six seven eight nine ten eleven twelve", [b"x one two three four five y"])[0] < decontam.THRESHOLD
 
 
 def test_shared_folder_is_the_named_one():
@@ -50,3 +69,21 @@ def test_shared_folder_is_the_named_one():
         conf = {"spark.checkpoint.dir": "file:/tmp/named/"}
 
     assert shared_folder(Session()) == "file:/tmp/named"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    """Without a named folder none is made on the driver's disk, unless all executors are there."""
+
+    class Session:
+        conf = {}
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+            class _jsc:  # noqa: N801
+                @staticmethod
+                def sc():
+                    return type("C", (), {"getCheckpointDir": staticmethod(lambda: type("N", (), {"isDefined": staticmethod(lambda: False)}))})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_folder(Session())

@@ -31,9 +31,9 @@ from vectide.llm.scratch import Scratch, prepare, table
 
 MOST_TOXIC, MOST_CLEAN = 10_000, 20_000
 #: A term's least share of toxic documents, least number of them, least surroundings, least precision where both classes
-#: are equally frequent, least precision as frequent as they are, and least log-likelihood ratio: what chance hardly
-#: reaches among some 100,000 words.
-SHARE, LEAST, SURROUNDINGS, PRECISION, SURE, EVIDENCE = 0.01, 4, 3, 0.9, 0.75, 30.0
+#: are equally frequent, least precision as frequent as they are, and what its log-likelihood ratio must exceed twice the
+#: logarithm of the number of candidates by: so much as chance hardly reaches among that many.
+SHARE, LEAST, SURROUNDINGS, PRECISION, SURE, EVIDENCE = 0.01, 4, 3, 0.9, 0.75, 7.0
 #: Lengths of word beginnings that may become terms; the length from which a word is held against the automaton.
 BEGINNINGS, FUZZY_FROM = range(4, 9), 4
 WINDOW, QUOTED, BASE, THRESHOLD = 4, 0.2, 0.01, 0.3
@@ -185,22 +185,22 @@ def parts(word: str) -> list[str]:
     return ["=" + word, *(word[:k] for k in BEGINNINGS if k <= len(word))]
 
 
-def sets_apart(x: int, y: int, n_toxic: int, n_clean: int) -> bool:
-    """Whether a term in x of n_toxic and y of n_clean documents is precise, and too frequent in the former for chance."""
+def sets_apart(x: int, y: int, n_toxic: int, n_clean: int, candidates: int) -> bool:
+    """Whether a term in x of n_toxic and y of n_clean documents is precise, and too frequent in the former for chance among so many candidates."""
     a, b = x / n_toxic, y / n_clean
     both = (x + y) / (n_toxic + n_clean)
     likelihood = 2 * (x * math.log(a / both) + (y * math.log(b / both) if y else 0.0))
-    return a / (a + (y + 0.5) / n_clean) >= PRECISION and likelihood >= EVIDENCE
+    return a / (a + (y + 0.5) / n_clean) >= PRECISION and likelihood >= EVIDENCE + 2 * math.log(candidates)
 
 
-def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, odds: float = 1.0) -> dict[str, float]:
+def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, candidates: int, odds: float = 1.0) -> dict[str, float]:
     """Terms that set toxic documents apart, with their precision where toxic ones are `odds` times as frequent as clean ones.
 
     Of nested terms the longest that lose little.
     """
     good = {}
     for t, x in toxic.items():
-        if sets_apart(x, clean.get(t, 0), n_toxic, n_clean):
+        if sets_apart(x, clean.get(t, 0), n_toxic, n_clean, candidates):
             a = odds * x / n_toxic
             p = a / (a + (clean.get(t, 0) + 0.5) / n_clean)
             if p >= SURE:
@@ -293,11 +293,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     toxic = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
     wanted = spark.sparkContext.broadcast(set(toxic))
     clean = {r["term"]: r["n"] for r in _totals(rows.where("toxic = 0").mapInPandas(lambda f: _document_counts(wanted.value)(f), "term string, toxic int, n long"))}
-    apart = {t for t, x in toxic.items() if sets_apart(x, clean.get(t, 0), n_toxic, n_clean)}
+    apart = {t for t, x in toxic.items() if sets_apart(x, clean.get(t, 0), n_toxic, n_clean, len(toxic))}
     around = rows.where("toxic = 1").mapInPandas(_surroundings(apart), "term string, around string")
     places = around.groupBy("term").agg(F.countDistinct("around").alias("n")).collect()  # at most one row a term
     varied = {r["term"] for r in places if r["n"] >= max(SURROUNDINGS, toxic[r["term"]] // 2)}
-    terms = choose({t: x for t, x in toxic.items() if t in varied}, clean, n_toxic, n_clean, odds)
+    terms = choose({t: x for t, x in toxic.items() if t in varied}, clean, n_toxic, n_clean, len(toxic), odds)
     lexicon = Lexicon({t[1:]: p for t, p in terms.items() if t[0] == "="}, {t: p for t, p in terms.items() if t[0] != "="})
     if lexicon.terms:
         seen: dict[str, dict[int, int]] = {}
