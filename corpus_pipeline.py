@@ -1,6 +1,8 @@
 """From raw documents to tokens: five stages, each written as Parquet and read again as the next one's documents.
 
-Each stage works on all that its predecessor kept. All but the last return the columns of `documents`.
+Each stage works on all that its predecessor kept. All but the last return the columns of `documents`. Rows without an id
+and rows that repeat one are rows like any other; an empty table of documents gives an empty result, and an empty benchmark
+or a corpus without labels drops nothing.
 """
 
 from __future__ import annotations
@@ -12,17 +14,17 @@ from vectide.llm.scratch import Scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Drops documents without a language, null texts and texts without a letter; `lang` becomes the predicted one, if any can be learned."""
     return langid.keep_known(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates, that with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item; each row is decided by its own text."""
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
