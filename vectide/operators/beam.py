@@ -2,7 +2,7 @@
 
 The beam is sequential per query, so it runs in NumPy; queries are spread over tasks and the graph with its codes is
 shared. Where that would exceed SHARED_BYTES the base is sharded instead: each shard is searched in its own task and the
-shards' best are merged (see `search_sharded`).
+shards' best are merged (see `search_shards`).
 
 What is observable is kept as specified: the beam orders by (distance, id); neighbours are admitted if nearer than the
 beam's worst as of the last flush; convergence looks at the previous expansion's admissions; the prefilter's cutoff is
@@ -25,14 +25,18 @@ from vectide.functions.vectors import COSINE, IP, L2, metric_of
 from vectide.operators.graph import pair_distances
 from vectide.session import share_code
 
-# Hops before the main loop, flush intervals before and after convergence, prefilter slack, rerank factor.
-PEEL, FLUSH, SLACK, RERANK = 3, (1, 4), 1.05, 2
-SHARED_BYTES = 1 << 30
-
+# Names of the stages' arms.
 ADMISSION = ("l2-u8", "l2-u16", "l2-kt", "ip-i8", "ip-i16", "cosine-i8", "cosine-i16", "pq-l2", "pq-ip", "pq-cosine", "native-l2-u8", "native-ip-u8", "native-cosine-u8", "ads-f32", "exact-f32")
 PREFILTER = ("none", "jl", "jl-hadamard", "rabitq")
 RERANK_ARMS = ("none", "l2-f32", "ip-f32", "cosine-f32", "l2-u16")
 
+# Slack of sampled distances and axes between their checks.
+ADS_SLACK, ADS_STEP = 2.1, 64
+
+# Hops before the main loop, flush intervals before and after convergence, prefilter slack, rerank factor.
+PEEL, FLUSH, SLACK, RERANK = 3, (1, 4), 1.05, 2
+SHARED_BYTES = 1 << 30
+
 
 @dataclass(frozen=True)
 class CascadeConfig:
@@ -165,7 +169,10 @@ class Controls:
 
 
 def walk(graph: SharedGraph, distance: Callable[[np.ndarray], np.ndarray], c: Controls, sketch: Callable[[np.ndarray], np.ndarray] | None = None, trace: list | None = None) -> tuple[Beam, dict]:
-    """A1: the beam after the walk, and counters. distance and sketch give a query's distances to row positions."""
+    """A1: the beam after the walk, and counters. distance and sketch give a query's distances to row positions.
+
+    A distance that is a Sampled also gets the beam's worst distance, beyond which it may answer infinity.
+    """
     note = (lambda kind, **x: trace.append({"type": kind, **x})) if trace is not None else (lambda kind, **x: None)
     beam, seen = Beam(c.beam), {graph.entry}
     beam.insert(float(distance(np.array([graph.entry]))[0]), graph.entry)
@@ -208,7 +215,7 @@ def walk(graph: SharedGraph, distance: Callable[[np.ndarray], np.ndarray], c: Co
             n["sketch_evaluations"] += raw
             found = found[sketch(found) < cutoff] if raw else found
             note("prefilter", cutoff=cutoff, rejected=raw - len(found))
-        d = distance(found) if len(found) else np.zeros(0)
+        d = np.zeros(0) if not len(found) else distance(found, worst) if isinstance(distance, Sampled) else distance(found)
         ok = d < worst
         admitted = int(ok.sum())
         pending += zip(d[ok].tolist(), found[ok].tolist(), strict=True)
@@ -243,7 +250,8 @@ def shared_graph(base: DataFrame, graph: DataFrame, entry_id: int, most: int = S
     """The graph and the base as arrays, for broadcasting; refused beyond `most` bytes (search shards instead)."""
     size = base.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
     edges = graph.agg(F.sum(F.size("local") * 2 + F.size("remote") + F.size("extra")).alias("e")).first()["e"] or 0
-    total = size["n"] * (size["d"] or 0) * 4 + edges * 8
+    # a row as floats and as codes (8 bytes a coordinate at most), three arrays a node with some 112 bytes each besides edges
+    total = size["n"] * ((size["d"] or 0) * 12 + 3 * 112) + edges * 8
     require(total <= most, "search", "graph and rows exceed what is shared with every task; search by shards", "RESOURCE_EXHAUSTED", bytes=total, limit=most)
     rows = base.select(F.col("id").cast("long").alias("id"), "vec").orderBy("id").toPandas()
     ids = rows["id"].to_numpy()
@@ -255,6 +263,24 @@ def shared_graph(base: DataFrame, graph: DataFrame, entry_id: int, most: int = S
     return SharedGraph(ids, [np.concatenate(p) for p in zip(local, remote, strict=True)], local, extra, at[int(entry_id)]), x
 
 
+@dataclass
+class Sampled:
+    """Squared distances over rotated axes; infinity once a check of the axes so far says that the bound is passed."""
+
+    rows: np.ndarray
+    query: np.ndarray
+
+    def __call__(self, at: np.ndarray, bound: float = np.inf) -> np.ndarray:
+        parts = np.cumsum((self.rows[at].astype(np.float64) - self.query) ** 2, axis=1)
+        dim = parts.shape[1]
+        out = parts[:, -1].copy()
+        if np.isfinite(bound):
+            for n in range(ADS_STEP, dim, ADS_STEP):
+                out[parts[:, n - 1] * (dim / n) > bound * (1 + ADS_SLACK / np.sqrt(n))] = np.inf
+            out[out >= bound] = np.inf
+        return out
+
+
 class Stages:
     """The distances of the cascade's stages against a base matrix, fitted once and shared."""
 
@@ -274,6 +300,9 @@ class Stages:
             pick = np.sort(np.random.default_rng(42).choice(len(x), min(len(x), 4096), replace=False))
             self.pq = Q.ProductCode([Q.kmeans(p, 256, seed=42 + i) for i, p in enumerate(np.array_split(x[pick].astype(np.float64), min(-(-dim // 8), 64), axis=1))])
             self.codes = self.pq.codes(x.astype(np.float64))
+        elif a == "ads-f32":
+            self.spin = Q.rotation(dim)
+            self.spun = (x @ self.spin.T).astype(np.float32)
         if cascade.rerank == "l2-u16":
             self.fine = Q.AffineCode(low, high, 65535)
             self.fine_codes = self.affine(x, self.fine)
@@ -302,7 +331,10 @@ class Stages:
         return np.clip(half_away(v.astype(np.float32) * np.float32(self.code.scale)), -self.code.top, self.code.top)
 
     def admission(self, q: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        """Distances to rows at some positions; `native-*` and `exact-f32` are exact. Only `ads-f32` makes use of a bound."""
         a, x = self.cascade.admission, self.x
+        if a == "ads-f32":
+            return Sampled(self.spun, self.spin @ q)
         if a in ("l2-u8", "l2-u16", "l2-kt"):
             c = self.affine(q).astype(np.float64)
             return lambda at: ((self.codes[at] - c) ** 2).sum(1)
@@ -384,45 +416,66 @@ def search(queries: DataFrame, graph: SharedGraph, stages: Stages, c: Controls)
     return asked.repartition(max(1, spark.sparkContext.defaultParallelism), "query_id").mapInPandas(batches, f"{RESULT}, {COUNTERS}")
 
 
-def search_sharded(base: DataFrame, queries: DataFrame, c: Controls, metric: str, shards: DataFrame, config=None, cascade: CascadeConfig | None = None) -> DataFrame:
-    """One graph per shard of shards(id, vec, shard), each searched by all queries (a broadcast block), merged by score.
+SHARD = "shard int, id long, vec array<float>, near array<int>, extra array<int>, entry boolean"
 
-    For bases whose graph can't be shared. The result differs from that of one graph: each shard has its own entry.
-    """
-    from vectide.operators.exact import blocks_of
-    from vectide.operators.graph import GraphConfig, build_shard
 
-    metric, spark = metric_of(metric), share_code(base.sparkSession)
-    config = config or GraphConfig()
-    parts = []
-    for ids, q in blocks_of(queries):
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def one(f: pd.DataFrame, shared) -> pd.DataFrame:
-            f = f.sort_values("id")
-            x, own = np.stack(f["vec"].to_numpy()).astype(np.float32), f["id"].to_numpy()
-            edges, captured, entry = build_shard(x.astype(np.float64), config, metric)
-            full = [np.array(e, np.int32) for e in edges]
-            g = SharedGraph(own, full, [e[: max(1, int(len(e) * config.local_pct / 100 + 0.5))] for e in full], [np.array(sorted(e)[: config.max_extra], np.int32) for e in captured], entry)
-            s = Stages(x, metric, resolve_cascade(cascade or CascadeConfig(), metric, x.shape[1]))
-            out = []
-            for qid, v in zip(*shared.value, strict=True):
-                ids_, scores, _ = answer(g, s, v, c)
-                out.append(pd.DataFrame({"query_id": qid, "id": ids_, "score": scores}))
-            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+def shard_graphs(shards: DataFrame, config, metric: str) -> DataFrame:
+    """SHARD rows of shards(id, vec, shard): each shard's graph, by positions in order of id. Keep it: building is what costs."""
+    from vectide.operators.graph import build_shard
+
+    metric = metric_of(metric)
+    share_code(shards.sparkSession)
+
+    def build(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id")
+        x = np.stack(f["vec"].to_numpy()).astype(np.float32)
+        edges, captured, entry = build_shard(x.astype(np.float64), config, metric)
+        return pd.DataFrame({"shard": f["shard"].to_numpy(), "id": f["id"].to_numpy(), "vec": list(x), "near": [np.array(e, np.int32) for e in edges], "extra": [np.array(sorted(e)[: config.max_extra], np.int32) for e in captured], "entry": np.arange(len(f)) == entry})
 
-        def of_block(f: pd.DataFrame) -> pd.DataFrame:
-            return one(f, shared)
+    return shards.select(F.col("id").cast("long").alias("id"), "vec", F.col("shard").cast("int").alias("shard")).groupBy("shard").applyInPandas(build, SHARD)
 
-        parts.append(shards.groupBy("shard").applyInPandas(of_block, "query_id long, id long, score double"))
+
+def opened_shard(f: pd.DataFrame, metric: str, cascade: CascadeConfig | None = None, local_pct: int = 60) -> tuple[SharedGraph, Stages]:
+    """A shard's rows as what a walk needs."""
+    f = f.sort_values("id")
+    x, near = np.stack(f["vec"].to_numpy()).astype(np.float32), [np.asarray(e, np.int32) for e in f["near"]]
+    g = SharedGraph(f["id"].to_numpy(), near, [e[: max(1, int(len(e) * local_pct / 100 + 0.5))] for e in near], [np.asarray(e, np.int32) for e in f["extra"]], int(np.argmax(f["entry"].to_numpy())))
+    return g, Stages(x, metric, resolve_cascade(cascade or CascadeConfig(), metric, x.shape[1]))
+
+
+def search_shards(graphs: DataFrame, queries: DataFrame, c: Controls, metric: str, cascade: CascadeConfig | None = None, local_pct: int = 60) -> DataFrame:
+    """(query_id, rank, id, score) over shard_graphs: every query meets every shard on the executors, the best are merged.
+
+    For bases whose graph can't be shared. The result differs from that of one graph: each shard has its own entry.
+    """
     from vectide.functions.vectors import rank_key
-    from vectide.operators.labels import union_all
 
-    found = union_all(parts).dropDuplicates(["query_id", "id"])
+    metric = metric_of(metric)
+    share_code(graphs.sparkSession)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec")).crossJoin(graphs.select(F.col("shard").alias("to")).distinct())  # as often as there are shards
+
+    def one(f: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(f):
+            g, s = opened_shard(f, metric, cascade, local_pct)
+            for qid, v in zip(q["query_id"], q["vec"], strict=True):
+                ids, scores, _ = answer(g, s, np.asarray(v, np.float64), c)
+                out.append(pd.DataFrame({"query_id": qid, "id": ids, "score": scores}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    found = graphs.groupBy("shard").cogroup(asked.groupBy("to")).applyInPandas(one, "query_id long, id long, score double").dropDuplicates(["query_id", "id"])
     by = Window.partitionBy("query_id").orderBy(rank_key(metric, F.col("score")), "id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= c.k).select("query_id", "rank", "id", "score")
 
 
+def search_sharded(base: DataFrame, queries: DataFrame, c: Controls, metric: str, shards: DataFrame, config=None, cascade: CascadeConfig | None = None) -> DataFrame:
+    """search_shards over graphs that are built for it from shards(id, vec, shard)."""
+    from vectide.operators.graph import GraphConfig
+
+    config = config or GraphConfig()
+    return search_shards(shard_graphs(shards, config, metric), queries, c, metric, cascade, config.local_pct)
+
+
 def trace_of(queries: DataFrame, graph: SharedGraph, stages: Stages, c: Controls) -> DataFrame:
     """One row per event: (query_id, seq, type, node, phase, ids, distances)."""
     spark = share_code(queries.sparkSession)

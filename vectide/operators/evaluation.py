@@ -151,6 +151,34 @@ def matched_states(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("query_id").agg((F.coalesce(parted, F.max("step") + 1) - 1).alias("shared_steps"))
 
 
+def phase_work(trace: DataFrame) -> DataFrame:
+    """(phase, expansions, looked_at, admitted): how a trace's work is split over the phases of the walk."""
+    of = lambda kind: F.sum(F.when(F.col("type") == kind, F.size("ids")).otherwise(0)).cast("long")
+    return trace.groupBy("phase").agg(F.count_if(F.col("type") == "expansion").alias("expansions"), of("expansion").alias("looked_at"), of("admission").alias("admitted"))
+
+
+def ablations(controls) -> dict:
+    """The settings that are compared, by name: plain search, and adaptive search by what it looks at once converged."""
+    from dataclasses import replace
+
+    modes = {m: replace(controls, adaptive=True, mode=m) for m in ("full", "local-extra", "local")}
+    return {"plain": replace(controls, adaptive=False), **modes, "prefix": replace(controls, adaptive=True, mode="local", prefix=8)}
+
+
+def profile(search, settings: dict, truth: DataFrame, k: int) -> list[dict]:
+    """For each named setting the recall, the counters and the seconds of search(setting)."""
+    import time
+
+    out = []
+    for name, setting in settings.items():
+        began = time.monotonic()
+        found = search(setting).cache()
+        n = counters(found).first().asDict()
+        out.append({"name": name, "seconds": time.monotonic() - began, "recall": mean_recall(recall(found, truth, k)).first()[0], **n})
+        found.unpersist()
+    return out
+
+
 def grid(search, settings: list[dict]) -> list[tuple[dict, DataFrame]]:
     """Results of search(**setting) for each setting of an ablation."""
     return [(s, search(**s)) for s in settings]

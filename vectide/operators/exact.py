@@ -28,16 +28,23 @@ def check_search(k: int, rows: int | None = None) -> None:
 
 
 def topk_expr(base: DataFrame, queries: DataFrame, k: int, metric: str = L2) -> DataFrame:
-    """(query_id, rank, id, score) of base(id, vec) for queries(query_id, vec); for a few queries."""
+    """(query_id, rank, id, score) of base(id, vec) for queries(query_id, vec); for a block of queries, more go through topk."""
     check_search(k)
+    if query_bytes(queries) > QUERY_BLOCK_BYTES:
+        return topk(base, queries, k, metric)
     pairs = base.select("id", F.col("vec").alias("v")).crossJoin(F.broadcast(queries.select("query_id", F.col("vec").alias("q"))))
     scored = pairs.select("query_id", "id", score(metric, "q", "v").alias("score")).where(F.col("score").isNotNull())
     by = Window.partitionBy("query_id").orderBy(rank_key(metric, F.col("score")), "id")
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def query_bytes(queries: DataFrame) -> int:
+    r = queries.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+    return r["n"] * (r["d"] or 0) * 8
+
+
 def blocks_of(queries: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Queries as (ids, matrix) blocks of at most QUERY_BLOCK_BYTES, streamed to the driver."""
+    """Queries as (ids, matrix) blocks of at most QUERY_BLOCK_BYTES, streamed to the driver; for queries of a checked size."""
     out, ids, rows, size = [], [], [], 0
     for r in queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")).orderBy("query_id").toLocalIterator():
         require(r["vec"] is not None and all(x is not None and np.isfinite(x) for x in r["vec"]), "search", "query is null or not finite", query_id=r["query_id"])
@@ -76,12 +83,12 @@ def matrix_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
-def _best(metric: str, k: int, block):
+def _best(metric: str, k: int, block, key_type=np.float32):
     ids, q = block
     sign = 1.0 if metric == L2 else -1.0
 
     def batches(stream):
-        top_key = np.full((len(ids), 0), np.inf, np.float32)
+        top_key = np.full((len(ids), 0), np.inf, key_type)
         top_id, top_score = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
         for b in stream:
             if not b.num_rows:
@@ -89,7 +96,7 @@ def _best(metric: str, k: int, block):
             x, row = matrix_of(b.column("vec")), b.column("id").to_numpy()
             require(x.shape[1] == q.shape[1], "search", "query dimension differs from the rows'", query=q.shape[1], rows=x.shape[1])
             s = scores_of(metric, q, x)
-            key = np.concatenate([top_key, (sign * s).astype(np.float32) + np.float32(0)], axis=1)
+            key = np.concatenate([top_key, (sign * s).astype(key_type) + key_type(0)], axis=1)
             key[np.isnan(key)] = np.inf
             every, value = np.concatenate([top_id, np.broadcast_to(row, s.shape)], axis=1), np.concatenate([top_score, s], axis=1)
             # rows that tie with the k-th are all looked at, then the least ids stay
@@ -102,28 +109,63 @@ def _best(metric: str, k: int, block):
             top_key, top_id, top_score = (np.take_along_axis(a, order, 1) for a in (key, every, value))
         ok = np.isfinite(top_key)
         qi = np.broadcast_to(ids[:, None], top_id.shape)[ok]
-        yield pa.record_batch([pa.array(qi), pa.array(top_id[ok]), pa.array(top_score[ok]), pa.array(top_key[ok])], ["query_id", "id", "score", "key"])
+        yield pa.record_batch([pa.array(qi), pa.array(top_id[ok]), pa.array(top_score[ok]), pa.array(top_key[ok].astype(np.float64))], ["query_id", "id", "score", "key"])
 
     return batches
 
 
-def topk(base: DataFrame, queries: DataFrame, k: int, metric: str = L2) -> DataFrame:
+FOUND = "query_id long, id long, score double, key double"
+
+
+def _grid(rows: DataFrame, queries: DataFrame, k: int, metric: str, key_type, size: int) -> DataFrame:
+    """FOUND rows of more queries than a block: parts of the rows meet blocks of the queries, each pair of them in a task."""
+    spark = rows.sparkSession
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"))
+    bad = F.col("vec").isNull() | F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    zero = ~F.exists("vec", lambda x: x != 0) if metric == COSINE else F.lit(False)
+    first = q.where(F.coalesce(bad, F.lit(True)) | zero).first()
+    require(first is None, "search", "query is null, not finite, or zero under cosine", query_id=first and first["query_id"])
+    shape = q.agg(F.min(F.size("vec")).alias("a"), F.max(F.size("vec")).alias("b")).first()
+    require(shape["a"] == shape["b"], "search", "queries differ in dimension")
+    blocks = -(-size // QUERY_BLOCK_BYTES) * 2  # half full on average, as hashes deal them out
+    parts = max(1, -(-rows.count() * shape["b"] * 8 // QUERY_BLOCK_BYTES))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = q.withColumn("block", deal("query_id", blocks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    held = rows.withColumn("part", deal("id", parts)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = []
+        if x.num_rows and y.num_rows:
+            y = y.combine_chunks()
+            block = (y.column("query_id").to_numpy(), matrix_of(y.column("vec").combine_chunks()))
+            out = list(_best(metric, k, block, key_type)(x.to_batches(max_chunksize=4096)))
+        return pa.Table.from_batches(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "key": pa.array([], pa.float64())})
+
+    share_code(spark)
+    return held.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(best, FOUND)
+
+
+def topk(base: DataFrame, queries: DataFrame, k: int, metric: str = L2, whole_keys: bool = False) -> DataFrame:
     """(query_id, rank, id, score): the k best rows of base(id, vec) for each of queries(query_id, vec); ties to the lower id.
 
-    Rows whose score is not finite (a zero vector under cosine) are left out; fewer than k rows give fewer ranks.
+    Rows whose score is not finite (a zero vector under cosine) are left out; fewer than k rows give fewer ranks. Ranks are
+    by the score in single precision, or as it is with `whole_keys`. One block of queries goes to every task; more of them
+    stay on the executors and meet the rows in a grid of blocks.
     """
     metric = metric_of(metric)
     check_search(k)
     share_code(base.sparkSession)
     rows = base.select(F.col("id").cast("long").alias("id"), F.col("vec").alias("vec")).where("vec is not null")
-    blocks = blocks_of(queries)
+    key_type = np.float64 if whole_keys else np.float32
+    size = query_bytes(queries)
+    blocks = blocks_of(queries) if size <= QUERY_BLOCK_BYTES else []
     for ids, q in blocks:
         require(metric != COSINE or bool((q != 0).any(axis=1).all()), "search", "zero query under cosine", query_id=int(ids[np.argmin((q != 0).any(axis=1))]))
-    if not blocks:
+    if not size:
         return base.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
-    parts = [rows.mapInArrow(_best(metric, k, block), "query_id long, id long, score double, key float") for block in blocks]
+    parts = [rows.mapInArrow(_best(metric, k, block, key_type), FOUND) for block in blocks]
     by = Window.partitionBy("query_id").orderBy("key", "id")
-    best = reduce(DataFrame.union, parts).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    best = (reduce(DataFrame.union, parts) if parts else _grid(rows, queries, k, metric, key_type, size)).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "id", "score")
 
 

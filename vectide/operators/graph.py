@@ -15,10 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vectide.errors import require
-from vectide.functions.vectors import L2, metric_of, rank_key, score, squared_l2
+from vectide.functions.vectors import L2, metric_of, squared_l2
 from vectide.operators.quantizers import kmeans, nearest
 from vectide.session import share_code
 
+#: By how much a node's edges may exceed its degree while others are inserted, before they are pruned.
+SLACK = 1.3
+
 SCHEMA = "node long, local array<long>, remote array<long>, extra array<long>"
 
 
@@ -146,16 +149,51 @@ def build_shard(x: np.ndarray, config: GraphConfig, metric: str = L2, start: lis
             prune(node, list(pool), np.array(list(pool.values())), alpha)
             for other in edges[node]:
                 if node not in edges[other]:
-                    if len(edges[other]) < config.degree:
-                        edges[other].append(node)
-                    else:
-                        ids_ = [*edges[other], node]
-                        prune(other, ids_, pair_distances(metric, x[[other]], x[ids_])[0], alpha)
+                    edges[other].append(node)
+                    if len(edges[other]) > SLACK * config.degree:
+                        prune(other, edges[other], pair_distances(metric, x[[other]], x[edges[other]])[0], alpha)
+        for node in range(n):  # what has grown beyond its degree meanwhile
+            if len(edges[node]) > config.degree:
+                prune(node, edges[node], pair_distances(metric, x[[node]], x[edges[node]])[0], alpha)
+    reach_all(x, edges, entry, config, metric)
     for i in range(n):
         captured[i] -= {i, *edges[i]}
     return edges, captured, entry
 
 
+def reach_all(x: np.ndarray, edges: list[list[int]], entry: int, config: GraphConfig, metric: str) -> None:
+    """Gives every node that no path leads to from the entry a link from one near it that a path leads to.
+
+    Such a node takes the place of the farthest edge that isn't the only way to another; a node with room keeps all.
+    """
+    parent, found = {entry: entry}, [entry]
+
+    def spread(front: list[int]) -> None:
+        while front:
+            front = [j for i in front for j in edges[i] if j not in parent and parent.setdefault(j, i) == i]
+            found.extend(front)
+
+    spread([entry])
+    for node in range(len(x)):
+        if node in parent:
+            continue
+        near, _ = greedy_search(x, edges, entry, x[node], config.build_l, metric)
+        for i in [*near, *found]:
+            if i == node or i not in parent:
+                continue
+            spare = [k for k, j in enumerate(edges[i]) if parent.get(j) != i]
+            if len(edges[i]) >= config.degree:
+                if not spare:
+                    continue
+                d = pair_distances(metric, x[[i]], x[[edges[i][k] for k in spare]])[0]
+                del edges[i][spare[int(np.argmax(d))]]
+            edges[i].append(node)
+            parent[node] = i
+            found.append(node)
+            spread([node])
+            break
+
+
 def local_size(degree: int, pct: int = 60) -> int:
     return int(np.floor(pct / 100 * degree + 0.5))
 
@@ -174,13 +212,19 @@ def zones(edges: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
     return placed.groupBy("node").agg(ids("local"), ids("remote"), ids("extra"))
 
 
+def rank_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What a node's edges are ordered by, from the node's row to some rows."""
+    return ((x - q) ** 2).sum(1) if metric == L2 else -(x @ q)
+
+
 def _edges_of_shard(config: GraphConfig, metric: str):
     def build(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id")
         x, ids = np.stack(f["vec"].to_numpy()).astype(np.float64), f["id"].to_numpy()
         edges, captured, _ = build_shard(x, config, metric)
-        rows = [(ids[i], ids[j], True) for i, e in enumerate(edges) for j in e] + [(ids[i], ids[j], False) for i, e in enumerate(captured) for j in sorted(e)]
-        return pd.DataFrame(rows, columns=["node", "id", "original"])
+        both = [(i, np.array(e, np.int64), True) for i, e in enumerate(edges)] + [(i, np.array(sorted(e), np.int64), False) for i, e in enumerate(captured)]
+        out = [pd.DataFrame({"node": ids[i], "id": ids[e], "original": kind, "dist": rank_distances(metric, x[i], x[e])}) for i, e, kind in both if len(e)]
+        return pd.concat(out) if out else pd.DataFrame({"node": [], "id": [], "original": [], "dist": []})
 
     return build
 
@@ -211,11 +255,9 @@ def build(base: DataFrame, config: GraphConfig = GraphConfig(), metric: str = L2
     share_code(base.sparkSession)
     base = base.select(F.col("id").cast("long").alias("id"), "vec")
     sharded = assign_shards(base, config)
-    raw = sharded.groupBy("shard").applyInPandas(_edges_of_shard(config, metric), "node long, id long, original boolean")
-    edges = raw.groupBy("node", "id").agg(F.max("original").alias("original"))
-    v = base.select(F.col("id").alias("node"), F.col("vec").alias("a"))
-    w = base.select("id", F.col("vec").alias("b"))
-    edges = edges.join(v, "node").join(w, "id").select("node", "id", "original", rank_key(metric, score(metric, "a", "b")).alias("dist"))
+    raw = sharded.groupBy("shard").applyInPandas(_edges_of_shard(config, metric), "node long, id long, original boolean, dist double")
+    # shards overlap: an edge that two of them have is one, at the same distance
+    edges = raw.groupBy("node", "id").agg(F.max("original").alias("original"), F.min("dist").alias("dist"))
     by = Window.partitionBy("node", "original").orderBy("dist", "id")
     edges = edges.withColumn("k", F.row_number().over(by)).where(~F.col("original") | (F.col("k") <= config.degree)).drop("k")
     every = base.select(F.col("id").alias("node")).join(zones(edges, config), "node", "left")
@@ -224,19 +266,42 @@ def build(base: DataFrame, config: GraphConfig = GraphConfig(), metric: str = L2
 
 
 def insert(graph: DataFrame, base: DataFrame, new: DataFrame, config: GraphConfig = GraphConfig(), metric: str = L2) -> DataFrame:
-    """The graph with new(id, vec) added as shards of their own, tied to the old rows by their nearest exact neighbours.
+    """The graph of base(id, vec) with new(id, vec) added as shards of their own, tied to the old rows they are nearest to.
 
-    Old nodes keep their edges; a new node's links back are kept as extras of the old node where there is room.
+    Old nodes that new ones link to get the links back and are pruned again, from their own edges and the `build_l` nearest
+    of these. So are new nodes, from the edges among themselves and those to old rows.
     """
     from vectide.operators.exact import topk
 
+    metric = metric_of(metric)
+    share_code(base.sparkSession)
+    base, new = (df.select(F.col("id").cast("long").alias("id"), "vec") for df in (base, new))
     fresh = build(new, config, metric)
-    old = topk(base, new.select(F.col("id").alias("query_id"), "vec"), max(1, config.degree // 2), metric)
-    out = old.groupBy(F.col("query_id").alias("node")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("more"))
-    fresh = fresh.join(out, "node", "left").select("node", "local", F.slice(F.array_distinct(F.concat("remote", F.coalesce("more", F.array().cast("array<long>")))), 1, config.degree).alias("remote"), "extra")
-    back = old.select(F.col("id").alias("node"), F.col("query_id").alias("id"), "rank").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("back"))
-    kept = graph.join(back, "node", "left").select("node", "local", F.concat("remote", F.slice(F.coalesce("back", F.array().cast("array<long>")), 1, config.max_extra)).alias("remote"), "extra")
-    return kept.unionByName(fresh)
+    old = topk(base, new.select(F.col("id").alias("query_id"), "vec"), max(1, config.degree // 2), metric).select(F.col("query_id").alias("node"), "id", "rank")
+    near = Window.partitionBy("node").orderBy("rank", "id")
+    back = old.select(F.col("id").alias("node"), F.col("node").alias("id"), "rank").withColumn("k", F.row_number().over(near)).where(F.col("k") <= config.build_l).select("node", "id")
+    touched = graph.join(back.select("node").distinct(), "node", "left_semi").unionByName(fresh)
+    every = base.union(new)
+    pool = edge_list(touched).union(back).union(old.select("node", "id")).distinct()
+    pool = pool.join(every, "id").union(touched.select(F.col("node").alias("id"), "node").join(every, "id").select("id", "node", "vec"))
+
+    def prune(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        node = int(key[0])
+        x, ids = np.stack(f["vec"].to_numpy()).astype(np.float64), f["id"].to_numpy()
+        d = rank_distances(metric, x[np.argmax(ids == node)], x)
+        order = np.lexsort((ids, d))
+        order = order[ids[order] != node]
+        ids, x, d = ids[order], x[order], d[order]
+        shift = 0.0 if metric == L2 else -min(0.0, float(d.min(initial=0.0)))  # occlusion compares ratios of what is positive
+        kept, _ = robust_prune(ids, d + shift, pair_distances(metric, x, x), config.degree, config.alpha, node, saturate=config.saturate)
+        first = max(1, local_size(len(kept), config.local_pct))
+        at = {int(i): k for k, i in enumerate(ids)}
+        kept.sort(key=lambda i: at[i])
+        return pd.DataFrame({"node": [node], "local": [kept[:first]], "remote": [kept[first:]]})
+
+    again = pool.groupBy("node").applyInPandas(prune, "node long, local array<long>, remote array<long>")
+    empty = F.array().cast("array<long>")
+    return graph.join(again, "node", "left_anti").unionByName(again.withColumn("extra", empty))
 
 
 def suppress(found: DataFrame, deleted: DataFrame, k: int) -> DataFrame:

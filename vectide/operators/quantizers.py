@@ -176,19 +176,23 @@ def fwht(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hadamard_bits(dim: int, seed: int = 42):
+@dataclass(frozen=True)
+class HadamardSketch:
     """Q8: (signs, then transform) three times over rows padded to a power of two; bit = (x > 0)."""
-    size = 1 << max(0, (dim - 1).bit_length())
-    draw = xorshift64(seed)
-    signs = [np.array([1.0 if next(draw) & 1 else -1.0 for _ in range(size)]) for _ in range(3)]
 
-    def bits(x: np.ndarray) -> np.ndarray:
-        x = np.pad(x, ((0, 0), (0, size - x.shape[1])))
-        for s in signs:
+    signs: tuple[np.ndarray, ...]
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        x = np.pad(x, ((0, 0), (0, len(self.signs[0]) - x.shape[1])))
+        for s in self.signs:
             x = fwht(x * s)
         return x > 0
 
-    return bits
+
+def hadamard_bits(dim: int, seed: int = 42) -> HadamardSketch:
+    size = 1 << max(0, (dim - 1).bit_length())
+    draw = xorshift64(seed)
+    return HadamardSketch(tuple(np.array([1.0 if next(draw) & 1 else -1.0 for _ in range(size)]) for _ in range(3)))
 
 
 def pack(bits: np.ndarray) -> np.ndarray:

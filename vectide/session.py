@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +30,18 @@ def share_code(spark: SparkSession) -> SparkSession:
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
     return spark
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or on a local master in a temporary one."""
+    from vectide.sources.store import make
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {spark.sparkContext.master})")
+        root = tempfile.mkdtemp(prefix="vectide-")
+        atexit.register(shutil.rmtree, root, True)
+    path = f"{root.rstrip('/')}/work-{uuid.uuid4().hex[:12]}"
+    make(spark, path)
+    return path

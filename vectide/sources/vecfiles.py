@@ -1,8 +1,8 @@
 """Vector files (S1-S3, S5, S7, S10, S11): read in parallel by offset, checked against their headers.
 
-A file of fixed-width rows is split into row ranges, and each task reads its own bytes. Paths go through Spark's Hadoop
-file systems for listing and size, and through Spark's binaryFile source where a file is small enough to be one row;
-larger files are read by range on workers, which needs a path that workers can open.
+A file of fixed-width rows is split into row ranges, and each task reads its own bytes. Sizes and headers come through
+Spark's Hadoop file systems. Ranges are read from mounted paths by open(), from other stores by the file systems that
+PyArrow knows; a store that neither reads goes through Spark's binaryFile source, for files below 2 GB.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vectide.errors import require
 from vectide.session import share_code
+from vectide.sources import store
 
 #: Element type of each format, and whether the dimension stands before every row or once in a header.
 FORMATS = {
@@ -40,14 +41,21 @@ def format_of(path: str, named: str | None = None) -> str:
     return kind
 
 
-def layout(path: str, kind: str) -> tuple[int, int, int, int]:
-    """(rows, dim, bytes before the first row, bytes of a row), checked against the size of the file."""
-    require(os.path.isfile(path), "read", "no such file", "NOT_FOUND", path=path)
-    size = os.path.getsize(path)
+def layout(path: str, kind: str, spark: SparkSession | None = None) -> tuple[int, int, int, int]:
+    """(rows, dim, bytes before the first row, bytes of a row), checked against the size of the file.
+
+    Without a session the path must be one for open().
+    """
+    require(store.is_file(spark, path) if spark else os.path.isfile(path), "read", "no such file", "NOT_FOUND", path=path)
+    size = store.size(spark, path) if spark else os.path.getsize(path)
     dtype, where = FORMATS[kind]
     width = np.dtype(dtype).itemsize
-    with open(path, "rb") as f:
-        head = np.frombuffer(f.read(8), "<u4")
+    if spark:
+        start = store.read(spark, path, 0, min(8, size))
+    else:
+        with open(path, "rb") as f:
+            start = f.read(8)
+    head = np.frombuffer(start[: len(start) // 4 * 4], "<u4")
     if where == "file":
         require(size >= 8, "read", "file is shorter than its header", "INVALID_DATA", path=path)
         rows, dim, skip, stride = int(head[0]), int(head[1]), 8, int(head[1]) * width
@@ -62,13 +70,16 @@ def layout(path: str, kind: str) -> tuple[int, int, int, int]:
 
 
 def read_vectors(spark: SparkSession, path: str, kind: str | None = None, max_points: int | None = None, as_base: bool = False) -> DataFrame:
-    """(id, vec) of a file on a path that driver and workers can open; ids are row positions. max_points keeps a prefix."""
+    """(id, vec) of a file; ids are row positions. max_points keeps a prefix."""
     kind = format_of(path, kind)
     require(not (as_base and kind in QUERY_ONLY), "read", "format is for queries only", "UNSUPPORTED", format=kind)
     require(max_points is None or max_points > 0, "read", "max_points must be positive")
-    rows, dim, skip, stride = layout(path, kind)
+    rows, dim, skip, stride = layout(path, kind, spark)
     rows = min(rows, max_points or rows)
     share_code(spark)
+    opened = _opener(spark, path)
+    if opened is None:
+        return read_small(spark, path, kind).where(F.col("id") < rows)
     dtype, where = FORMATS[kind]
     step = max(1, TASK_BYTES // stride)
 
@@ -76,7 +87,7 @@ def read_vectors(spark: SparkSession, path: str, kind: str | None = None, max_po
         for f in frames:
             for first in f["id"]:
                 n = min(step, rows - int(first))
-                with open(path, "rb") as file:
+                with opened() as file:
                     file.seek(skip + int(first) * stride)
                     raw = np.frombuffer(file.read(n * stride), "u1").reshape(n, stride)
                 if where == "row":
@@ -91,6 +102,25 @@ def read_vectors(spark: SparkSession, path: str, kind: str | None = None, max_po
     return ranges.mapInPandas(batches, f"id long, vec array<{'float' if 'f' in dtype else 'int' if dtype != '<u4' else 'bigint'}>")
 
 
+def _opener(spark: SparkSession, path: str):
+    """What opens the file on a worker, or None where only Spark reads the store."""
+    local = store.local_path(spark, path)
+    if local is not None:
+        return lambda: open(local, "rb")
+
+    def remote():
+        from pyarrow.fs import FileSystem
+
+        fs, p = FileSystem.from_uri(path)
+        return fs.open_input_file(p)
+
+    try:
+        remote().close()
+    except Exception:  # each library reports a store that it doesn't know in its own way
+        return None
+    return remote
+
+
 def read_small(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """(id, vec) through Spark's binaryFile source: for any store that Spark reads, one row per file, so below 2 GB."""
     kind = format_of(path, kind)
@@ -106,10 +136,13 @@ def read_small(spark: SparkSession, path: str, kind: str | None = None) -> DataF
                 else:
                     raw = raw[8:]
                 x = np.ascontiguousarray(raw).view(dtype).reshape(-1, dim)
-                yield pd.DataFrame({"id": np.arange(len(x)), "vec": list(x.astype(np.float64))})
+                for a in range(0, len(x), 4096):
+                    part = x[a : a + 4096]
+                    yield pd.DataFrame({"id": np.arange(a, a + len(part)), "vec": list(part.astype(np.float32 if "f" in dtype else np.int64))})
 
     share_code(spark)
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(batches, "id long, vec array<double>")
+    kind_of = "float" if "f" in dtype else "int" if dtype != "<u4" else "bigint"
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(batches, f"id long, vec array<{kind_of}>")
 
 
 def from_array(spark: SparkSession, x: np.ndarray) -> DataFrame:
@@ -121,17 +154,50 @@ def from_array(spark: SparkSession, x: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(np.arange(len(x))), "vec": lists}))
 
 
-def write_vectors(path: str, x: np.ndarray, kind: str | None = None) -> None:
-    """Writes an array in a vector format; refuses to overwrite."""
-    kind = format_of(path, kind)
+def encoded(x: np.ndarray, kind: str) -> bytes:
+    """Rows in a format, without what stands once before all rows."""
     dtype, where = FORMATS[kind]
     x = np.ascontiguousarray(x, dtype)
+    if where == "file":
+        return x.tobytes()
+    head = np.full((len(x), 1), x.shape[1], "<u4").view("u1").reshape(len(x), 4)
+    return np.hstack([head, x.view("u1").reshape(len(x), -1)]).tobytes()
+
+
+def header(rows: int, dim: int, kind: str) -> bytes:
+    return np.array([rows, dim], "<u4").tobytes() if FORMATS[kind][1] == "file" else b""
+
+
+def write_vectors(path: str, x: np.ndarray, kind: str | None = None, spark: SparkSession | None = None) -> None:
+    """Writes an array in a vector format, with a session on any store; refuses to overwrite."""
+    kind = format_of(path, kind)
+    data = (header(*x.shape, kind), encoded(x, kind))
+    if spark:
+        store.write(spark, path, data)
+        return
     with open(path, "xb") as f:
-        if where == "file":
-            f.write(np.array(x.shape, "<u4").tobytes() + x.tobytes())
-        else:
-            head = np.full((len(x), 1), x.shape[1], "<u4").view("u1").reshape(len(x), 4)
-            f.write(np.hstack([head, x.view("u1").reshape(len(x), -1)]).tobytes())
+        for d in data:
+            f.write(d)
+
+
+def convert(spark: SparkSession, source: str, path: str, kind: str | None = None, to: str | None = None, block: int = 1) -> None:
+    """A file in another format, rows padded with zeros to a multiple of `block`; passes the driver 4096 rows at a time."""
+    kind, to = format_of(source, kind), format_of(path, to)
+    rows, dim, _, _ = layout(source, kind, spark)
+    wide = dim + -dim % block
+
+    def data():
+        yield header(rows, wide, to)
+        held: list = []
+        for r in read_vectors(spark, source, kind).orderBy("id").toLocalIterator():
+            held.append(r["vec"])
+            if len(held) == 4096:
+                yield encoded(np.pad(np.array(held), ((0, 0), (0, wide - dim))), to)
+                held = []
+        if held:
+            yield encoded(np.pad(np.array(held), ((0, 0), (0, wide - dim))), to)
+
+    store.write(spark, path, data())
 
 
 def convert_hdf5(source: str, path: str, name: str = "train", kind: str | None = None, block: int = 1) -> None:
