@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 from vectide.llm import toxicity as T
 
@@ -72,6 +73,56 @@ def test_held_out_accuracy(documents, frame, odd):
     assert (again.words, again.beginnings) == (lexicon.words, lexicon.beginnings)
 
 
+def test_the_whole_query_by_brute_force(documents, frame, odd):
+    """Counts, choice of terms and scores, by plain loops over the rows."""
+    docs, labels = corpus()
+    rng = random.Random(3)
+    docs = [(i, t + rng.choice(["", " zidiottz", ' he said "zmoronnz"', " blorkx"]), *r) for i, t, *r in docs]
+    table, known = documents(docs + [(i and i + 5000, *r) for i, *r in odd]), frame(labels, "doc_id long, quality int, toxic int")
+    lexicon = T.fit(table, known)
+    toxic = {i: bad for i, _, bad in labels if zlib.crc32(str(i).encode()) % 4 != 2}
+    texts = {(t, toxic[i]) for i, t, *_ in docs if i in toxic}
+    n = [sum(bad == k for _, bad in texts) for k in (0, 1)]
+    seen, around = [Counter(), Counter()], {}
+    for t, bad in texts:
+        words = T.tokens(t)
+        seen[bad].update({f for w in words for f in ["=" + w, *(w[:k] for k in range(4, 9) if k <= len(w))]})
+        for k, w in enumerate(words if bad else []):
+            for f in ["=" + w, *(w[:m] for m in range(4, 9) if m <= len(w))]:
+                around.setdefault(f, set()).add((*words[max(0, k - 1) : k], "|", *words[k + 1 : k + 2]))
+    frequent = {f: x for f, x in seen[1].items() if x >= max(T.LEAST, round(T.SHARE * n[1]))}
+    apart = {f: x for f, x in frequent.items() if T.sets_apart(x, seen[0][f], n[1], n[0], len(frequent))}
+    varied = {f: x for f, x in apart.items() if len(around[f]) >= max(T.SURROUNDINGS, x // 2)}
+    odds = (sum(toxic.values()) + 1) / (sum(1 - x for x in toxic.values()) + 1)
+    want = T.choose(varied, seen[0], n[1], n[0], len(frequent), odds)
+    assert want == {"=" + w: p for w, p in lexicon.words.items()} | lexicon.beginnings and {"=zidiotz", "=zmoronz"} <= set(want)
+
+    def weight(w):
+        if w in lexicon.words:
+            return lexicon.words[w]
+        starts = [p for b, p in lexicon.beginnings.items() if w.startswith(b)]
+        if starts or w in lexicon.variants:
+            return max(starts, default=None) or lexicon.variants[w]
+        near = [lexicon.unseen(t) for t in lexicon.words if len(t) >= 4 and edits(w, t) <= 1]
+        return max(near, default=0.0)
+
+    got = {r["doc_id"]: r["score"] for r in T.score(table, lexicon).collect()}
+    looked = 0
+    for i, t, *_ in docs:
+        words = T.tokens(t)
+        if any(lexicon.near(w) in lexicon.beginnings for w in words):  # misspelt beginnings have a test of their own
+            continue
+        free, quoted = 1.0, 0.0
+        for k, w in enumerate(words):
+            if any(x in T.REPORTING for x in words[max(0, k - T.WINDOW) : k + T.WINDOW + 1]):
+                quoted = max(quoted, weight(w))
+            else:
+                free *= 1 - weight(w)
+        assert abs(got[i] - max(T.BASE, 1 - free, quoted * T.QUOTED)) < 1e-12, t
+        looked += 1
+    assert looked > 400
+
+
 def test_a_single_misspelling_reaches_the_threshold(documents, frame):
     lexicon = T.Lexicon({"idiot": 0.99, "scum": 0.8}, {"pathet": 0.99})
     for text in ("you idoit", "such scuum", "how ptahetic", "how pathhetically", "pathteic"):

@@ -8,6 +8,7 @@ A written table survives the loss of an executor, which a local checkpoint does
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch: bounds what a Python worker holds at once, long texts included.
 ARROW_ROWS = 256
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 _held: dict = {}
@@ -35,14 +37,30 @@ def let_go() -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches and lets Python workers import this package, wherever it was imported from."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds Arrow batches and lets Python workers import this package, wherever it was imported from.
+
+    The bound holds for the session from then on, as results are worked out after an operator has returned; all operators
+    set the same one, and a lower one that the session has stays.
+    """
+    if not 0 < int(spark.conf.get(_BATCH)) <= ARROW_ROWS:
+        spark.conf.set(_BATCH, str(ARROW_ROWS))
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Larger batches for short rows, for what is worked out within; then what the session had."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, or else the checkpoint folder of the context, or else a new one on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None)
