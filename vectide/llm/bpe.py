@@ -11,7 +11,7 @@ needed and kept, up to MOST_STATES; then the machine forgets them and goes on.
 Decoding concatenates the tokens' bytes; the text comes from an incremental UTF-8 machine, whose state is at most the three
 bytes of an unfinished character.
 
-Edge cases: null text counts as empty, and empty text has no tokens; lone surrogates can't occur in Spark strings;
+Edge cases: null text counts as empty, and empty text has no tokens; bytes that aren't UTF-8 are read as U+FFFD;
 repeated rows keep a row each; an empty table gives an empty result; other columns are ignored by `encode_table`.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectide.llm.scratch import held, prepare, table
+from vectide.llm.scratch import held, prepare, table, text_of
 
 VOCABULARY, PATTERN = "byte_bpe_50k.tiktoken", public_tokenizers.PATTERN
 #: States (with two moves each) and matches kept by a worker.
@@ -291,7 +291,7 @@ def encode_table(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(packed), "<i4"))
             yield pa.record_batch([b.column("doc_id"), ids, pa.array(sizes), pa.array(back, pa.string())], ["doc_id", "ids", "n_tokens", "decoded"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(batches, "doc_id long, ids array<int>, n_tokens long, decoded string")
 
 

@@ -17,7 +17,7 @@ whole texts.
 
 Edge cases: text that is null or has no letter is `und` with score 0; null languages and texts teach nothing; if no
 language is learned all is `und`; ties go to the language whose name sorts first; repeated rows keep a row each; an
-empty table gives an empty result; other columns are ignored. `keep_known` drops what is null or has no letter, nothing else.
+empty table gives an empty result; bytes that aren't UTF-8 count as U+FFFD; other columns are ignored. `keep_known` drops what is null or has no letter, nothing else.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vectide.llm.scratch import let_go, prepare, table
+from vectide.llm.scratch import let_go, prepare, table, text_of
 
 LANGUAGES, SAMPLE_CHARS, LONGEST, BLOCK = 100, 24_000, 16_000, 256
 #: Texts of a language that are looked at to fill its sample.
@@ -279,7 +279,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame) -> Model:
     """The model of docs(doc_id, text, lang): the sample of each language, chosen by hash among the texts to learn from."""
-    rows = training_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    rows = training_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.col("lang").cast("string").alias("lang")))
     rows = rows.withColumn("h", F.xxhash64("text"))
     # copies of a text teach once
     texts = rows.where(F.char_length("text") <= LONGEST).groupBy("lang", "h").agg(F.min(F.char_length("text")).alias("size"))
@@ -313,7 +313,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             langs, score, rate = shared.value.predict([normalise(t) if t else "" for t in b.column("text").to_pylist()])
             yield pa.record_batch([b.column("doc_id"), pa.array(langs), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "phrase_rate"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(batches, "doc_id long, lang_pred string, score double, phrase_rate double")
 
 
@@ -326,7 +326,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, lang = docs.columns.index("text"), docs.columns.index("lang")
-    docs = docs.withColumn("lang", F.col("lang").cast("string"))
+    docs = docs.withColumns({"lang": F.col("lang").cast("string"), "text": text_of()})
 
     def batches(stream):
         let_go()

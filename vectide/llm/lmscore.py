@@ -19,7 +19,8 @@ with the uniform distribution over the vocabulary as Witten and Bell do.
 
 Edge cases: null and empty texts, and those without a word, score 0 with 0 tokens; null or unmatched ids in the target
 list are ignored, repeated ones count once; with an empty target list the target model is uniform; repeated documents
-count each time and keep a row each; an empty table gives an empty result; other columns are ignored.
+count each time and keep a row each; an empty table gives an empty result; bytes that aren't UTF-8 count as U+FFFD; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectide.llm.scratch import Scratch, let_go, prepare, table
+from vectide.llm.scratch import Scratch, let_go, prepare, table, text_of
 
 #: Scripts written without spaces: Thai and Lao, Burmese, Khmer, Kana, Han.
 ALONE = "฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
@@ -229,7 +230,7 @@ def score_corpus(docs: DataFrame, good: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "lmscore")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     blocks = scratch.keep(rows.mapInArrow(_blocks, BLOCKS), "blocks")
     size = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     ids = good.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()

@@ -13,7 +13,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows of an Arrow batch: bounds what a Python worker holds at once, long texts included.
 ARROW_ROWS = 256
@@ -123,3 +123,8 @@ class Scratch:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_of(column: str = "text") -> Column:
+    """A column as text that Python can read: bytes that aren't UTF-8, which a file may hold, become U+FFFD."""
+    return F.make_valid_utf8(F.col(column).cast("string"))

@@ -14,7 +14,7 @@ evidence: 1 - product of (1 - weight).
 
 Edge cases: null and empty texts score BASE; nulls in labels are no labels; of several labels of a document the largest
 counts; without toxic or clean training rows the lexicon is empty and all score BASE; repeated rows keep a row each; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; bytes that aren't UTF-8 count as U+FFFD; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectide.llm.scratch import Scratch, prepare, table
+from vectide.llm.scratch import Scratch, prepare, table, text_of
 
 MOST_TOXIC, MOST_CLEAN = 10_000, 20_000
 #: A term's least share of toxic documents, least number of them, least surroundings, least precision where both classes
@@ -281,8 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     some = known.where("toxic = 1").orderBy("h", "_id").limit(MOST_TOXIC).union(known.where("toxic = 0").orderBy("h", "_id").limit(MOST_CLEAN))
     some = scratch.keep(some.select("_id", "toxic"), "sample")
     # at most MOST_TOXIC + MOST_CLEAN ids of 12 bytes are broadcast; copies of a text teach once
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
-    rows = scratch.keep(rows.select(F.col("text").cast("string").alias("text"), "toxic").dropDuplicates(["text"]), "rows")
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
+    rows = scratch.keep(rows.select("text", "toxic").dropDuplicates(["text"]), "rows")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     odds = known.agg((F.sum("toxic") + 1) / (F.sum(1 - F.col("toxic")) + 1)).first()[0]
@@ -334,7 +334,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         for b in stream:
             yield pa.record_batch([b.column("doc_id"), pa.array([shared.value.score(t) for t in b.column("text").to_pylist()], pa.float64())], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(batches, "doc_id long, score double")
 
 
