@@ -98,11 +98,12 @@ def p4_squared_norm(spark, d):
     return embeddings(spark, d).select("id", V.squared_norm_exact("u8").alias("norm2"))
 
 
-@query()
+@query(" SELECT id, 0.0::DOUBLE AS drift FROM e")
 def p6_rotation(spark, d):
+    """What a rotation does to the norms."""
     e = embeddings(spark, d)
     turned = Q.rotate(e.select("id", "vec"), Q.rotation(64))
-    return turned.join(e.select("id", F.col("vec").alias("v")), "id").select("id", F.round(V.norm("vec") - V.norm("v"), 6).alias("drift"))
+    return turned.join(e.select("id", F.col("vec").alias("v")), "id").select("id", F.round(F.abs(V.norm("vec") - V.norm("v")), 6).alias("drift"))
 
 
 for _m, _n in ((L2, "d1_squared_l2"), (IP, "d2_inner_product"), (COSINE, "d3_cosine")):
@@ -570,7 +571,8 @@ def e9_search_trace(spark, d):
     return index.trace(asked(e), k=10, search_list_size=48)
 
 
-@query()
+@query(" SELECT count(*) AS nodes, 16 * count(*) AS edges, 16 AS min_degree, 16 AS max_degree, 16.0::DOUBLE AS avg_degree FROM e")
 def g1_graph_build(spark, d):
+    """The degrees of a built graph: nodes are saturated."""
     e = embeddings(spark, d)
     return G.stats(G.build(e.select("id", "vec"), G.GraphConfig(degree=16, build_l=40, passes=1))).select("nodes", "edges", "min_degree", "max_degree", F.round("avg_degree", 4).alias("avg_degree"))

@@ -212,6 +212,9 @@ def q8_hadamard_bits(spark, d):
     return K.q8_jl_hadamard(spark, d)
 
 
+ORACLES["q8_jl_hadamard"] = ORACLES["q8_hadamard_bits"]
+
+
 @query(" SELECT id, true AS nearest FROM e")
 def q11_codes_are_nearest(spark, d):
     """Each chunk's code is that of the nearest centre of the fitted book, by a plain search."""
@@ -578,3 +581,46 @@ def e15_matched_states(spark, d):
 @query(TRACE + ", p AS (SELECT CASE WHEN query_id % 2 = 0 THEN 'exploring' ELSE 'converged' END AS phase, type, ids FROM t) SELECT phase, count(*) FILTER (type = 'expansion') AS expansions, sum(CASE WHEN type = 'expansion' THEN len(ids) ELSE 0 END)::BIGINT AS looked_at, sum(CASE WHEN type = 'admission' THEN len(ids) ELSE 0 END)::BIGINT AS admitted FROM p GROUP BY phase")
 def e15_phase_work(spark, d):
     return E.phase_work(traced(spark, d).withColumn("phase", F.when(F.col("query_id") % 2 == 0, "exploring").otherwise("converged")))
+
+
+# --- arrays, streams, interpolation ------------------------------------------------------------------------------------------------
+
+
+@query(f" SELECT id, {CHECKSUM.format(v='list_transform(unit, lambda x: x::FLOAT::DOUBLE)')} AS floats, {CHECKSUM.format(v='u8')} AS bytes FROM e")
+def s3_arrays(spark, d):
+    """Arrays in memory become tables, with the row's position as its id."""
+    from vectide.sources.vecfiles import from_array
+
+    rows = embeddings(spark, d).orderBy("id").select("unit", "u8").toPandas()
+    floats, whole = (np.stack(rows[c].to_numpy()).astype(t) for c, t in (("unit", np.float32), ("u8", np.uint8)))
+    return from_array(spark, floats).select("id", checksum("vec").alias("floats")).join(from_array(spark, whole).select("id", checksum("vec").alias("bytes")), "id")
+
+
+@query(K.topk_sql(L2, 3).replace("rank, id, round(score, 4) AS score", "rank, id"))
+def s6_query_stream(spark, d):
+    """Queries that arrive as files, answered batch by batch."""
+    from vectide.streaming.queries import exact_stream, query_source
+
+    e, folder = embeddings(spark, d), work_folder(spark)
+    asked(e).repartition(3).write.parquet(f"{folder}/queries")
+    exact_stream(e.select("id", "vec"), query_source(spark, f"{folder}/queries"), 3, f"{folder}/found", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/found").select("query_id", F.col("rank").cast("long").alias("rank"), "id")
+
+
+@query(K.topk_sql(L2, 3).replace("query_id, rank, id, round(score, 4) AS score", "query_id // 100 AS query_id, rank, id"))
+def s6_piped_queries(spark, d):
+    """Queries that come through a pipe, two at a time; they are numbered as they come."""
+    import io
+
+    from vectide.streaming.queries import piped_queries
+
+    e = embeddings(spark, d)
+    rows = [np.asarray(r["vec"], np.float32) for r in asked(e).orderBy("query_id").collect()]
+    pipe = io.BytesIO(b"".join(np.array([len(v)], "<u4").tobytes() + v.tobytes() for v in rows))
+    parts = [X.topk(e.select("id", "vec"), q, 3, L2) for q in piped_queries(spark, pipe, batch=2)]
+    return L.union_all(parts).select("query_id", F.col("rank").cast("long").alias("rank"), "id")
+
+
+@query(", " + K.RUNS + ", b AS (SELECT recall, max(qps) AS qps FROM r GROUP BY recall), f AS (SELECT recall, qps, max(qps) OVER (ORDER BY recall DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM b), g AS (SELECT recall, qps, lead(recall) OVER (ORDER BY recall) AS r1, lead(qps) OVER (ORDER BY recall) AS q1 FROM f WHERE above IS NULL OR qps > above) SELECT round(max(CASE WHEN recall = 0.9012 THEN qps WHEN recall < 0.9012 AND 0.9012 < r1 THEN qps + (q1 - qps) * (0.9012 - recall) / (r1 - recall) END), 4) AS qps FROM g")
+def e6_qps_at_a_recall(spark, d):
+    return E.qps_at(K.runs(spark, d), 0.9012).select(F.round("qps", 4).alias("qps"))
