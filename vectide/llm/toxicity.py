@@ -119,9 +119,7 @@ class Lexicon:
 
         The last letter of a beginning must come: a word that only shares the letters before it is another word.
         """
-        whole = self.span[0] <= len(word) <= self.span[1] and (any(word[:k] in self.heads for k in self.cut[0]) or any(word[-k:] in self.tails for k in self.cut[1]))
-        start = any(word[:k] in self.first for k in self.starts[0]) or any(word[e - k : e] in self.last for e, k in self.starts[1] if e <= len(word))
-        if not whole and not start:
+        if not self.may_be_near(word):
             return None
         machine, found = Automaton(word), []
         stack = [(self.trie, machine.start, "")]
@@ -136,9 +134,36 @@ class Lexicon:
                     stack.append((child, to, path + c))
         return min(found, key=lambda t: (-self.terms[t], t), default=None)
 
+    def may_be_near(self, word: str) -> bool:
+        """Whether the word has a half of a term, which nearly no word has; asked of every word, hence plain loops."""
+        size = len(word)
+        if self.span[0] <= size <= self.span[1]:
+            heads, tails = self.heads, self.tails
+            for k in self.cut[0]:
+                if word[:k] in heads:
+                    return True
+            for k in self.cut[1]:
+                if word[-k:] in tails:
+                    return True
+        first, last = self.first, self.last
+        for k in self.starts[0]:
+            if word[:k] in first:
+                return True
+        for e, k in self.starts[1]:
+            if e <= size and word[e - k : e] in last:
+                return True
+        return False
+
     def starts_like(self, word: str) -> float:
         """The weight of the beginnings that the word has."""
-        return max((self.beginnings.get(word[:k], 0.0) for k in self.sizes if len(word) >= k), default=0.0)
+        best, size, weights = 0.0, len(word), self.beginnings
+        for k in self.sizes:
+            if k > size:
+                break
+            x = weights.get(word[:k], 0.0)
+            if x > best:
+                best = x
+        return best
 
     def unseen(self, term: str) -> float:
         """The weight of a misspelling that the sample doesn't hold: alone it reaches the threshold."""
