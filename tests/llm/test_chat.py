@@ -1,4 +1,5 @@
 import hashlib
+import re
 import time
 
 import pytest
@@ -86,3 +87,37 @@ def test_query_equals_its_sql(spark, turns, tmp_path):
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, c.sql(C.OP2_SQL).fetchall()))
     one = df.where("conv_id = -1").first()
     assert one["loss_sha256"] == hashlib.sha256(ATTACK.encode()).hexdigest() and one["loss_chars"] == len(ATTACK)
+
+
+def escaped(text):
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text)
+
+
+def rendering(turns):
+    return [(f"{C.START}{escaped(role.replace('%', '%25').replace(chr(10), '%0A'))}\n", escaped(text)) for role, text in turns]
+
+
+def test_examples_hold_their_contexts(turns):
+    """Rows of the operator have all that was said before them, as plain loops render it; the last row ends the conversation."""
+    want = []
+    for i, ts in ordered(TURNS).items():
+        before, made = "", rendering(ts)
+        for no, ((role, _), (head, body)) in enumerate(zip(ts, made, strict=True), 1):
+            if role == "assistant":
+                want.append((i, no, before + head, len(before + head), body, no == len(ts)))
+            before += head + body + C.END
+        if ts[-1][0] != "assistant":
+            want.append((i, None, before, len(before), None, True))
+    got = [tuple(r) for r in C.format_conversations(turns(TURNS)).select("conv_id", "turn_no", "context", "context_chars", "target", "last").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_the_query_reads_its_contexts(spark, turns, tmp_path, monkeypatch):
+    """What the query returns comes from the contexts of the examples: other contexts, other results."""
+    turns(TURNS[:5]).write.parquet(str(tmp_path / "conversations.parquet"))
+    right = {r["conv_id"]: r for r in C.op2_chat(spark, str(tmp_path)).collect()}
+    made = C.format_conversations
+    monkeypatch.setattr(C, "format_conversations", lambda t: made(t).withColumn("context", F.concat(F.lit(f"{C.START}user\n{C.END}"), "context")))
+    for i, r in {r["conv_id"]: r for r in C.op2_chat(spark, str(tmp_path)).collect()}.items():
+        assert (r["n_turns"], r["formatted_chars"]) == (right[i]["n_turns"] + 1, right[i]["formatted_chars"] + len(f"{C.START}user\n{C.END}"))
+        assert r["turns_sha256"] != right[i]["turns_sha256"] and r["contexts_sha256"] != right[i]["contexts_sha256"] and r["loss_sha256"] == right[i]["loss_sha256"]
