@@ -191,3 +191,26 @@ def test_save_open_labels_and_slot(spark, data, tmp_path):
     with pytest.raises(EngineError) as e:
         Index.open(spark, ref)
     assert e.value.code == "CORRUPT"
+
+
+@pytest.mark.parametrize("metric", ["squared-l2", "cosine"])
+def test_a_search_for_a_row_finds_it(metric):
+    """Rows of very different lengths: a path to each is not enough, the walk of the row's own search must take it."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if metric == "squared-l2":
+        x *= rng.integers(1, 11, size=(300, 1))
+    config = G.GraphConfig(degree=8, build_l=16, passes=1)
+    edges, _, entry = G.build_shard(x, config, metric)
+    assert [i for i in range(300) if i not in G.greedy_search(x, edges, entry, x[i], 16, metric)[0]] == []
+    assert all(len(e) <= 8 and len(set(e)) == len(e) and i not in e for i, e in enumerate(edges))
+    graph = B.SharedGraph(np.arange(300), [np.array(e, np.int32) for e in edges], [], [], entry)
+    stages = B.Stages(x.astype(np.float32), metric, B.CascadeConfig("none", "exact-f32", "l2-f32" if metric == "squared-l2" else "cosine-f32"))
+    assert [int(B.answer(graph, stages, x[i], B.Controls(5, 24, adaptive=False))[0][0]) for i in range(300)] == list(range(300))
+
+
+def test_equal_rows_fill_a_beam_and_the_build_ends():
+    x = np.vstack([np.zeros((60, 4)), np.eye(4)])
+    edges, _, entry = G.build_shard(x, G.GraphConfig(degree=6, build_l=8, passes=1))
+    assert max(map(len, edges)) <= 6 and all(i in G.greedy_search(x, edges, entry, x[i], 8)[0] for i in range(60, 64))
