@@ -68,3 +68,38 @@ def test_rescoring_keeps_the_order(spark):
 def test_self_neighbours_leave_the_row_out(spark):
     got = X.self_knn(base(spark, [(0,), (1,), (3,)]), 1).orderBy("query_id").collect()
     assert [(r["query_id"], r["id"]) for r in got] == [(0, 1), (1, 0), (2, 1)]
+
+
+def test_scores_of_many_queries_take_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(8000, 4)), rng.normal(size=(3000, 4))
+    b = pa.record_batch([pa.array(np.arange(8000)), pa.array(list(x))], ["id", "vec"])
+    tracemalloc.start()
+    out = list(X._best(L2, 5, (np.arange(3000), q))([b]))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sum(o.num_rows for o in out) == 15000 and most < 100e6  # the scores of all pairs alone are 192 MB
+
+
+@pytest.mark.parametrize("metric", [L2, IP, COSINE])
+def test_tiles_give_what_one_matrix_gives(monkeypatch, metric):
+    """Ties, a zero vector and fewer rows than k in a tile; the best come from several batches."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    x, q = rng.integers(-2, 3, (90, 3)).astype(float), rng.integers(1, 3, (11, 3)).astype(float)
+    x[0] = 0
+    batches = [pa.record_batch([pa.array(r), pa.array(list(x[r]))], ["id", "vec"]) for r in (np.arange(40), np.arange(40, 90))]
+    with np.errstate(invalid="ignore"):
+        d = {L2: ((q[:, None] - x[None]) ** 2).sum(2), IP: -(q @ x.T), COSINE: -(q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)}[metric].astype(np.float32)
+    d[np.isnan(d)] = np.inf
+    want = [(i, j) for i in range(11) for j in np.lexsort((np.arange(90), d[i]))[:7].tolist()]
+    monkeypatch.setattr(X, "ROWS_AT_ONCE", 5)
+    monkeypatch.setattr(X, "SCORES_AT_ONCE", 20)
+    monkeypatch.setattr(X, "RESULTS_AT_ONCE", 3)
+    out = list(X._best(metric, 7, (np.arange(11), q))(batches))
+    assert [(i, j) for o in out for i, j in zip(o.column("query_id").to_pylist(), o.column("id").to_pylist(), strict=True)] == want
