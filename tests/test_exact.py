@@ -103,3 +103,28 @@ def test_tiles_give_what_one_matrix_gives(monkeypatch, metric):
     monkeypatch.setattr(X, "RESULTS_AT_ONCE", 3)
     out = list(X._best(metric, 7, (np.arange(11), q))(batches))
     assert [(i, j) for o in out for i, j in zip(o.column("query_id").to_pylist(), o.column("id").to_pylist(), strict=True)] == want
+
+
+def test_a_pair_is_scored_once_and_norms_are_taken_by_row(spark):
+    """What costs a pair: one inner product under the join, none of them for norms, and no second one to see whether there is a score."""
+    import io
+    from contextlib import redirect_stdout
+
+    found = X.topk_expr(base(spark, [*SUBSET8, (0, 0)]), asked(spark, [(1, 0), (0, 2)]), 9, COSINE)
+    assert len(ids(found)) == 16 and 8 not in ids(found)  # the zero row has no score
+    with redirect_stdout(io.StringIO()) as out:
+        found.explain("formatted")
+    join = out.getvalue().split("BroadcastNestedLoopJoin\n")[-1].split("\n(")[0]
+    pairs = next(x for x in out.getvalue().split("\n(") if "zip_with(q#" in x)
+    assert "Join condition: None" in join and pairs.count("zip_with") == 1
+
+
+def test_more_pairs_than_expressions_are_for_go_through_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x, q = rng.normal(size=(60, 5)), rng.normal(size=(4, 5))
+    plan = lambda: X.topk_expr(base(spark, x), asked(spark, q), 6, COSINE)
+    joined, want = plan(), ids(plan())
+    monkeypatch.setattr(X, "EXPR_WORK", 4 * 60 * 5 - 1)
+    assert ids(plan()) == want
+    says = lambda f: f._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in says(joined) and "MapInArrow" in says(plan())
