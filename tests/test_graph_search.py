@@ -214,3 +214,14 @@ def test_equal_rows_fill_a_beam_and_the_build_ends():
     x = np.vstack([np.zeros((60, 4)), np.eye(4)])
     edges, _, entry = G.build_shard(x, G.GraphConfig(degree=6, build_l=8, passes=1))
     assert max(map(len, edges)) <= 6 and all(i in G.greedy_search(x, edges, entry, x[i], 8)[0] for i in range(60, 64))
+
+
+def test_the_medoid_is_that_of_all_rows(spark):
+    """Rows that a stride sample of 1024 would leave out decide; any row may win; ids need not be dense."""
+    at = [10.0 if i % 2 == 0 and i < 2048 else 0.0 for i in range(2100)]
+    rows = [(i, [v, 1.0]) for i, v in enumerate(at)]
+    assert G.medoid_entry(spark.createDataFrame(rows, "id long, vec array<double>")).first()["id"] == 1
+    x = np.random.default_rng(4).normal(size=(400, 5))
+    sums = ((x[:, None] - x[None]) ** 2).sum((1, 2))
+    odd = [(7 * i + 1_000_000, r.tolist()) for i, r in enumerate(x)]
+    assert G.medoid_entry(spark.createDataFrame(odd, "id long, vec array<double>")).first()["id"] == 7 * int(np.argmin(sums)) + 1_000_000
