@@ -225,3 +225,34 @@ def test_the_medoid_is_that_of_all_rows(spark):
     sums = ((x[:, None] - x[None]) ** 2).sum((1, 2))
     odd = [(7 * i + 1_000_000, r.tolist()) for i, r in enumerate(x)]
     assert G.medoid_entry(spark.createDataFrame(odd, "id long, vec array<double>")).first()["id"] == 7 * int(np.argmin(sums)) + 1_000_000
+
+
+@pytest.mark.parametrize("metric", [L2, IP, COSINE])
+def test_recall_of_a_built_shard_without_structure(metric):
+    """Vectors without directions that stand out, of ten lengths, and a group of near copies: what a narrow degree must still reach."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2000, 64))
+    x[1900:] = x[0] + 0.01 * rng.normal(size=(100, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if metric != COSINE:
+        x *= rng.integers(1, 11, size=(2000, 1))
+    edges, _, entry = G.build_shard(x, G.GraphConfig(degree=16, build_l=40, passes=1), metric)
+    assert {len(e) for e in edges} == {16} and all(i not in e and len(set(e)) == 16 for i, e in enumerate(edges))
+    graph = B.SharedGraph(np.arange(2000), [np.array(e, np.int32) for e in edges], [], [], entry)
+    stages = B.Stages(x.astype(np.float32), metric, B.CascadeConfig("none", "exact-f32", {L2: "l2-f32", IP: "ip-f32", COSINE: "cosine-f32"}[metric]))
+    asked = [*range(0, 1900, 20), *range(1900, 2000, 10)]
+    true = np.argsort(G.pair_distances(metric, x[asked], x), axis=1, kind="stable")[:, :10]
+    found = [B.answer(graph, stages, x[i], B.Controls(10, 100, adaptive=False))[0] for i in asked]
+    assert np.mean([len(set(a.tolist()) & set(b.tolist())) / 10 for a, b in zip(found, true, strict=True)]) >= 0.97
+
+
+def test_shards_joined_into_one_graph_reach_and_find_every_row(spark, data):
+    """Rows and edges that can be shared: the joined graph is settled from its own entry, by tasks, within its degree."""
+    base = spark.createDataFrame([(3 * i, r.tolist()) for i, r in enumerate(data)], "id long, vec array<double>")
+    config = G.GraphConfig(degree=8, build_l=20, passes=1, shard_rows=100)
+    graph = G.build(base, config)
+    assert graph.count() == 300 and G.violations(graph, 900, 8, 16).count() == 0
+    shared, x = B.shared_graph(base, graph, G.medoid_entry(base).first()["id"])
+    assert {len(e) for e in shared.full} == {8}
+    stages = B.Stages(x, L2, B.CascadeConfig("none", "exact-f32", "l2-f32"))
+    assert [int(B.answer(shared, stages, x[i].astype(float), B.Controls(1, 24, adaptive=False))[0][0]) for i in range(300)] == [3 * i for i in range(300)]
